@@ -490,3 +490,192 @@ def q_sample_cap(spark, sf):
 @register("shapiro_w")
 def q_shapiro(spark, sf):
     return hypothesis.shapiro(clean_obs(spark, sf), PHYSICAL, cap=5000, seed=42, key_cols=ROW_KEY)
+
+
+# ------------------------------------------- F5, O1, O3, A18: time axis
+from lumen.operators import evaluate, ordering, split  # noqa: E402
+
+_TS = ("try_strptime(printf('2025-%02d-%02d %02d:00:00', MO, DY, HR), '%Y-%m-%d %H:%M:%S')")
+_SERIES = f"""ts AS (SELECT {KEYS}, {_TS} AS fecha_hora, {UVB} FROM clean),
+b AS (SELECT * FROM ts WHERE fecha_hora IS NOT NULL AND {UVB} IS NOT NULL AND NOT isnan({UVB})),
+w AS (SELECT * FROM b WHERE fecha_hora BETWEEN (SELECT MIN(fecha_hora) FROM b)
+                          AND (SELECT MIN(fecha_hora) FROM b) + INTERVAL 7 DAY)"""
+
+
+def _series(spark, sf):
+    return ordering.with_time(clean_obs(spark, sf)).select(*ROW_KEY, "fecha_hora", UVB)
+
+
+@register("time_series", with_(OBS, CLEAN, _SERIES) + f"SELECT {KEYS}, fecha_hora, {r6(UVB)} AS {UVB} FROM b")
+def q_time_series(spark, sf):
+    return ordering.time_series(_series(spark, sf), "fecha_hora", ROW_KEY)
+
+
+@register("first_days", with_(OBS, CLEAN, _SERIES) + f"SELECT {KEYS}, fecha_hora, {r6(UVB)} AS {UVB} FROM w")
+def q_first_days(spark, sf):
+    return ordering.first_days(_series(spark, sf), "fecha_hora", UVB, days=7)
+
+
+@register("first_days_events", """
+WITH b AS (SELECT event_id, ts, value FROM events
+           WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value))
+SELECT event_id, ts, """ + r6("value") + """ AS value FROM b
+WHERE ts BETWEEN (SELECT MIN(ts) FROM b) AND (SELECT MIN(ts) FROM b) + INTERVAL 7 DAY""")
+def q_first_days_events(spark, sf):
+    return ordering.first_days(fx.events_series(spark, sf), "ts", "value", days=7)
+
+
+@register("series_bound", with_(OBS, CLEAN, _SERIES) + f"SELECT {r6(f'MAX({UVB}) * 1.1e0')} AS y_max FROM w")
+def q_series_bound(spark, sf):
+    return ordering.series_bound(ordering.first_days(_series(spark, sf), "fecha_hora", UVB))
+
+
+@register("first_rows", with_(OBS, CLEAN, _SERIES) + f"""
+SELECT {KEYS}, fecha_hora, {r6(UVB)} AS {UVB} FROM b ORDER BY fecha_hora, {KEYS} LIMIT 500""")
+def q_first_rows(spark, sf):
+    return ordering.first_rows(_series(spark, sf), "fecha_hora", ROW_KEY, 500)
+
+
+# --------------------------------------------- M1-M3, A16, A17: split
+_LABELLED = f"""thr AS (SELECT quantile_cont({UVB}, 0.5) AS t FROM clean),
+lab AS (SELECT clean.*, CAST(CASE WHEN {UVB} >= thr.t THEN 1 ELSE 0 END AS INT) AS HighUVB
+        FROM clean, thr),
+cc AS (SELECT HighUVB, COUNT(*) AS n_c FROM lab GROUP BY HighUVB),
+a1 AS (SELECT HighUVB, n_c, SUM(n_c) OVER () AS n,
+              SUM(n_c) OVER () - CEIL(0.2e0 * SUM(n_c) OVER ()) AS ntr FROM cc),
+a2 AS (SELECT *, CAST(ntr * n_c AS DOUBLE) / CAST(n AS DOUBLE) AS cont FROM a1),
+a3 AS (SELECT *, FLOOR(cont) AS fl, cont - FLOOR(cont) AS rem FROM a2),
+a4 AS (SELECT *, ntr - SUM(fl) OVER () AS need,
+              ROW_NUMBER() OVER (ORDER BY rem DESC, HighUVB) AS rk FROM a3),
+alloc AS (SELECT HighUVB, n_c, CAST(fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS BIGINT) AS n_train
+          FROM a4),
+sc AS (SELECT 'train' AS split, HighUVB, n_train AS n FROM alloc WHERE n_train > 0
+       UNION ALL SELECT 'test', HighUVB, n_c - n_train FROM alloc WHERE n_c > n_train)"""
+
+
+def labelled(spark, sf) -> DataFrame:
+    c = clean_obs(spark, sf)
+    thr = summarize.median_threshold(c).scalar()
+    return c.withColumn("HighUVB", high_label(UVB, thr))
+
+
+def _split(spark, sf) -> DataFrame:
+    return split.stratified_split(labelled(spark, sf), "HighUVB", ROW_KEY, 0.2, 42)
+
+
+@register("split_counts", with_(OBS, CLEAN, _LABELLED) + "SELECT split, HighUVB, CAST(n AS BIGINT) AS n FROM sc")
+def q_split_counts(spark, sf):
+    return split.split_counts(_split(spark, sf), "HighUVB")
+
+
+@register("class_proportion", with_(OBS, CLEAN, _LABELLED) + f"""
+SELECT split, {r6('CAST(SUM(n * HighUVB) AS DOUBLE) / SUM(n)')} AS proportion,
+       CAST(SUM(n) AS BIGINT) AS n FROM sc GROUP BY split""")
+def q_class_proportion(spark, sf):
+    return summarize.class_proportion(_split(spark, sf), "HighUVB")
+
+
+@register("class_weight", with_(OBS, CLEAN, _LABELLED) + f"""
+SELECT CAST(SUM(CASE WHEN HighUVB = 1 THEN n ELSE 0 END) AS BIGINT) AS pos,
+       CAST(SUM(CASE WHEN HighUVB = 0 THEN n ELSE 0 END) AS BIGINT) AS neg,
+       {r6('COALESCE(CAST(SUM(CASE WHEN HighUVB = 0 THEN n ELSE 0 END) AS DOUBLE) / NULLIF(SUM(CASE WHEN HighUVB = 1 THEN n ELSE 0 END), 0), 1e0)')} AS scale_pos_weight
+FROM sc WHERE split = 'train'""")
+def q_class_weight(spark, sf):
+    return summarize.class_weight(_split(spark, sf).where(F.col("split") == "train"), "HighUVB")
+
+
+@register("fold_counts", with_(OBS, CLEAN, _LABELLED) + """
+, tr AS (SELECT HighUVB, n_train AS n_c FROM alloc WHERE n_train > 0),
+bl AS (SELECT HighUVB, n_c, COALESCE(SUM(n_c) OVER (ORDER BY HighUVB
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM tr),
+fo AS (SELECT HighUVB, n_c, s, CAST(x.i AS INT) AS fold FROM bl, range(0, 5) AS x(i)),
+fc AS (SELECT fold, HighUVB,
+              CAST(GREATEST(0, FLOOR((s + n_c - fold - 1) / 5) + 1)
+                   - GREATEST(0, FLOOR((s - fold - 1) / 5) + 1) AS BIGINT) AS n FROM fo)
+SELECT fold, HighUVB, n FROM fc WHERE n > 0""")
+def q_fold_counts(spark, sf):
+    return split.fold_counts(split.stratified_folds(_split(spark, sf), "HighUVB", 5), "HighUVB")
+
+
+# ------------------------------------------------------- E1-E5: evaluation
+_SCORED = f"""scored AS (
+  SELECT CASE WHEN {UVB} >= 1.5e0 THEN 1 ELSE 0 END AS label,
+         floor(({UVB} / 3e0 * 0.6e0 + {LW} / 50e0 * 0.4e0) * 100e0) / 100e0 AS score FROM obs),
+sp AS (SELECT label, score, CASE WHEN score >= 0.5e0 THEN 1 ELSE 0 END AS prediction FROM scored),
+ps AS (SELECT score, COUNT(*) FILTER (WHERE label = 1) AS pos,
+              COUNT(*) FILTER (WHERE label = 0) AS neg FROM scored GROUP BY score),
+cum AS (SELECT *, SUM(pos) OVER (ORDER BY score DESC) AS tps, SUM(neg) OVER (ORDER BY score DESC) AS fps,
+               ROW_NUMBER() OVER (ORDER BY score DESC) - 1 AS idx,
+               LEAD(pos) OVER (ORDER BY score DESC) AS npos, LEAD(neg) OVER (ORDER BY score DESC) AS nneg,
+               COUNT(*) OVER () AS D FROM ps),
+auc AS (SELECT SUM(neg * ((tps - pos) + pos / 2e0)) / (SUM(pos) * SUM(neg)) AS auc FROM cum),
+cells AS (SELECT COUNT(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+                 COUNT(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+                 COUNT(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+                 COUNT(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn FROM sp),
+pc AS (SELECT *, tp + fp + fn + tn AS N,
+              CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / (tp + fp) END AS p1,
+              CASE WHEN tp + fn = 0 THEN 0e0 ELSE tp / (tp + fn) END AS r1,
+              CASE WHEN tn + fn = 0 THEN 0e0 ELSE tn / (tn + fn) END AS p0,
+              CASE WHEN tn + fp = 0 THEN 0e0 ELSE tn / (tn + fp) END AS r0 FROM cells),
+m AS (SELECT *, CASE WHEN p1 + r1 = 0 THEN 0e0 ELSE 2 * p1 * r1 / (p1 + r1) END AS f1_1,
+             CASE WHEN p0 + r0 = 0 THEN 0e0 ELSE 2 * p0 * r0 / (p0 + r0) END AS f1_0 FROM pc)"""
+
+
+def _scored(spark, sf):
+    return evaluate.with_prediction(fx.scored(spark, sf), "score", 0.5)
+
+
+@register("confusion", with_(OBS, _SCORED) + """
+, ax AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(label, prediction))
+SELECT ax.label, ax.prediction, CAST(COUNT(sp.label) AS BIGINT) AS n
+FROM ax LEFT JOIN sp ON sp.label = ax.label AND sp.prediction = ax.prediction
+GROUP BY ax.label, ax.prediction""")
+def q_confusion(spark, sf):
+    return evaluate.confusion(_scored(spark, sf))
+
+
+@register("roc_auc", with_(OBS, _SCORED) + f"SELECT {r6('auc')} AS auc FROM auc")
+def q_roc_auc(spark, sf):
+    return evaluate.roc_auc(_scored(spark, sf))
+
+
+@register("roc_points", with_(OBS, _SCORED) + f"""
+, tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM ps)
+SELECT CAST('inf' AS DOUBLE) AS threshold, 0e0 AS fpr, 0e0 AS tpr
+UNION ALL
+SELECT {r6('score')}, {r6('fps / N')}, {r6('tps / P')} FROM cum, tot
+WHERE idx = 0 OR idx = D - 1 OR npos <> pos OR nneg <> neg""")
+def q_roc_points(spark, sf):
+    return evaluate.roc_points(_scored(spark, sf))
+
+
+@register("roc_points_all", with_(OBS, _SCORED) + f"""
+, tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM ps)
+SELECT CAST('inf' AS DOUBLE) AS threshold, 0e0 AS fpr, 0e0 AS tpr
+UNION ALL
+SELECT {r6('score')}, {r6('fps / N')}, {r6('tps / P')} FROM cum, tot""")
+def q_roc_points_all(spark, sf):
+    return evaluate.roc_points(_scored(spark, sf), drop_intermediate=False)
+
+
+@register("class_metrics", with_(OBS, _SCORED) + f"""
+SELECT {r6('(tp + tn) / N')} AS accuracy, {r6('(f1_0 + f1_1) / 2')} AS f1_macro,
+       {r6('(r0 + r1) / 2')} AS balanced_accuracy, {r6('auc.auc')} AS auc FROM m, auc""")
+def q_class_metrics(spark, sf):
+    return evaluate.class_metrics(_scored(spark, sf))
+
+
+@register("class_report", with_(OBS, _SCORED) + f"""
+SELECT '0' AS class, {r6('p0')} AS precision, {r6('r0')} AS recall, {r6('f1_0')} AS f1,
+       CAST(tn + fp AS BIGINT) AS support FROM m
+UNION ALL SELECT '1', {r6('p1')}, {r6('r1')}, {r6('f1_1')}, CAST(tp + fn AS BIGINT) FROM m
+UNION ALL SELECT 'accuracy', {r6('(tp + tn) / N')}, {r6('(tp + tn) / N')}, {r6('(tp + tn) / N')},
+       CAST(N AS BIGINT) FROM m
+UNION ALL SELECT 'macro avg', {r6('(p0 + p1) / 2')}, {r6('(r0 + r1) / 2')}, {r6('(f1_0 + f1_1) / 2')},
+       CAST(N AS BIGINT) FROM m
+UNION ALL SELECT 'weighted avg', {r6('(p0 * (tn + fp) + p1 * (tp + fn)) / N')},
+       {r6('(r0 * (tn + fp) + r1 * (tp + fn)) / N')}, {r6('(f1_0 * (tn + fp) + f1_1 * (tp + fn)) / N')},
+       CAST(N AS BIGINT) FROM m""")
+def q_class_report(spark, sf):
+    return evaluate.class_report(_scored(spark, sf))
