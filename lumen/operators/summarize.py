@@ -92,6 +92,13 @@ def median_threshold(df: DataFrame, column: str = UVB) -> DataFrame:
     return quantiles(df, column, {"threshold": 0.5}).select("threshold")
 
 
+def threshold_value(df: DataFrame, column: str = UVB):
+    """M1: the median as a literal (one number crosses to the driver), so the
+    label expression does not re-run the median inside every later plan."""
+    value = median_threshold(df, column).first()[0]
+    return F.lit(value).cast("double")
+
+
 def class_proportion(df: DataFrame, label: str, split: str = "split") -> DataFrame:
     """Share of positives per split."""
     return df.groupBy(split).agg(F.avg(F.col(label).cast("double")).alias("proportion"),

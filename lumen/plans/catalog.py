@@ -321,8 +321,7 @@ SELECT {KEYS}, CAST(CASE WHEN {UVB} >= t.thr THEN 1 ELSE 0 END AS INT) AS HighUV
 FROM clean, t""")
 def q_label_high(spark, sf):
     c = clean_obs(spark, sf)
-    thr = summarize.median_threshold(c).scalar()
-    return c.select(*ROW_KEY, high_label(UVB, thr).alias("HighUVB"))
+    return c.select(*ROW_KEY, high_label(UVB, summarize.threshold_value(c)).alias("HighUVB"))
 
 
 # ----------------------------------------------------- A9-A13 distributions
@@ -555,8 +554,7 @@ sc AS (SELECT 'train' AS split, HighUVB, n_train AS n FROM alloc WHERE n_train >
 
 def labelled(spark, sf) -> DataFrame:
     c = clean_obs(spark, sf)
-    thr = summarize.median_threshold(c).scalar()
-    return c.withColumn("HighUVB", high_label(UVB, thr))
+    return c.withColumn("HighUVB", high_label(UVB, summarize.threshold_value(c)))
 
 
 def _split(spark, sf) -> DataFrame:
@@ -679,3 +677,97 @@ UNION ALL SELECT 'weighted avg', {r6('(p0 * (tn + fp) + p1 * (tp + fn)) / N')},
        CAST(N AS BIGINT) FROM m""")
 def q_class_report(spark, sf):
     return evaluate.class_report(_scored(spark, sf))
+
+
+# ------------------------------------------------ M4-M13: model pipeline
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.feature import OneHotEncoder  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from lumen.operators import prep  # noqa: E402
+from lumen.plans import modeling  # noqa: E402
+
+_NUM, _CAT = [LW, PRECIP, PS], ["HR", "DY", "MO"]
+
+
+def _valid(c: str) -> str:
+    return f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
+
+
+@register("impute_median", with_(OBS, DIRTY) + ", med AS (SELECT "
+          + ", ".join(f"quantile_cont({_valid(c)}, 0.5) AS m{i}" for i, c in enumerate(_NUM))
+          + " FROM dirty)\nSELECT " + KEYS + ", "
+          + ", ".join(f"{r6(f'COALESCE({_valid(c)}, m{i})')} AS {c}" for i, c in enumerate(_NUM))
+          + " FROM dirty, med")
+def q_impute_median(spark, sf):
+    d = fx.obs_dirty(spark, sf)
+    m = prep.MedianImputer(inputCols=_NUM).fit(d)
+    return m.transform(d).select(*ROW_KEY, *_NUM)
+
+
+@register("impute_mode", with_(OBS, DIRTY) + ", " + ",\n".join(
+    f"md{i} AS (SELECT {c} AS v FROM dirty WHERE {c} IS NOT NULL GROUP BY {c} "
+    f"ORDER BY COUNT(*) DESC, {c} LIMIT 1)" for i, c in enumerate(_CAT))
+          + "\nSELECT " + KEYS + ", "
+          + ", ".join(f"CAST(COALESCE({c}, (SELECT v FROM md{i})) AS INT) AS {c}"
+                      for i, c in enumerate(_CAT)) + " FROM dirty")
+def q_impute_mode(spark, sf):
+    d = fx.obs_dirty(spark, sf)
+    m = prep.ModeImputer(inputCols=_CAT).fit(d)
+    return m.transform(d).select(*ROW_KEY, *_CAT)
+
+
+@register("standardize", with_(OBS, CLEAN) + ", st AS (SELECT "
+          + ", ".join(f"AVG({c}) AS a{i}, STDDEV_POP({c}) AS s{i}" for i, c in enumerate(_NUM))
+          + " FROM clean)\nSELECT " + KEYS + ", "
+          + ", ".join(f"{r6(f'({c} - a{i}) / CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END')} AS {c}"
+                      for i, c in enumerate(_NUM)) + " FROM clean, st")
+def q_standardize(spark, sf):
+    c = clean_obs(spark, sf)
+    return prep.PopulationScaler(inputCols=_NUM).fit(c).transform(c).select(*ROW_KEY, *_NUM)
+
+
+@register("one_hot", with_(OBS, CLEAN) + "\nSELECT " + KEYS + ", "
+          + ", ".join(f"CAST(DENSE_RANK() OVER (ORDER BY {c}) - 1 AS INT) AS {c}_hot, "
+                      f"CAST((SELECT COUNT(DISTINCT {c}) FROM clean) AS INT) AS {c}_width"
+                      for c in _CAT) + " FROM clean")
+def q_one_hot(spark, sf):
+    c = clean_obs(spark, sf)
+    idx = prep.CategoryIndexer(inputCols=_CAT)
+    ohe = OneHotEncoder(inputCols=[f"{x}_idx" for x in _CAT], outputCols=[f"{x}_ohe" for x in _CAT],
+                        dropLast=True)
+    out = Pipeline(stages=[idx, ohe]).fit(c).transform(c)
+    cols = []
+    for x in _CAT:
+        arr = vector_to_array(f"{x}_ohe")
+        cols += [(F.array_position(arr, F.lit(1.0)) - 1).cast("int").alias(f"{x}_hot"),
+                 F.size(arr).cast("int").alias(f"{x}_width")]
+    return out.select(*ROW_KEY, *cols)
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    return modeling.grid_table(spark, modeling.run_search(spark, sf))
+
+
+@register("model_predict")
+def q_model_predict(spark, sf):
+    return modeling.run_search(spark, sf).predictions.select(
+        *ROW_KEY, "HighUVB", "prediction", "score")
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf):
+    p = modeling.run_search(spark, sf).predictions
+    return evaluate.class_metrics(p, "HighUVB", "prediction", "score")
+
+
+@register("model_confusion")
+def q_model_confusion(spark, sf):
+    p = modeling.run_search(spark, sf).predictions
+    return evaluate.confusion(p, "HighUVB", "prediction")
+
+
+@register("model_record")
+def q_model_record(spark, sf):
+    return modeling.record(spark, modeling.run_search(spark, sf))
