@@ -771,3 +771,52 @@ def q_model_confusion(spark, sf):
 @register("model_record")
 def q_model_record(spark, sf):
     return modeling.record(spark, modeling.run_search(spark, sf))
+
+
+# ----------------------------------------------- S1-S7: sources and sinks
+import uuid  # noqa: E402
+
+from lumen.sources import files, sinks  # noqa: E402
+from lumen.streaming import kpis as stream_kpis  # noqa: E402
+
+_OBS_COLS = ["YEAR", "MO", "DY", "HR", UVB, LW, PRECIP, PS, *ROW_KEY]
+
+
+@register("csv_roundtrip", with_(OBS, CLEAN) + "SELECT * FROM clean")
+def q_csv_roundtrip(spark, sf):
+    path = files.shared_path(spark, "csv")
+    files.write_csv(clean_obs(spark, sf).select(*_OBS_COLS), path)
+    return files.read_csv(spark, path, files.KEYED_SCHEMA)
+
+
+@register("sink_roundtrip", with_(OBS, CLEAN) + "SELECT * FROM clean")
+def q_sink_roundtrip(spark, sf):
+    path = files.shared_path(spark, "datos_uvb")
+    sinks.write_table(clean_obs(spark, sf).select(*_OBS_COLS), path, ("YEAR", "MO"))
+    return spark.read.parquet(path).select(*_OBS_COLS)
+
+
+@register("sink_count", with_(OBS) + "SELECT COUNT(*) AS total FROM obs")
+def q_sink_count(spark, sf):
+    path = files.shared_path(spark, "datos_uvb")
+    sinks.write_table(fx.obs(spark, sf).select(*_OBS_COLS), path, ("YEAR", "MO"))
+    return sinks.load_count(spark, path)
+
+
+@register("sink_month_pruned", with_(OBS, CLEAN) + "SELECT * FROM clean WHERE MO = 7")
+def q_sink_month(spark, sf):
+    path = files.shared_path(spark, "datos_uvb")
+    sinks.write_table(clean_obs(spark, sf).select(*_OBS_COLS), path, ("YEAR", "MO"))
+    return spark.read.parquet(path).where(F.col("MO") == 7).select(*_OBS_COLS)
+
+
+@register("stream_kpis", with_(OBS, CLEAN) + f"""
+SELECT COUNT(*) AS total_registros, {r6(f'AVG({UVB})')} AS uvb_promedio,
+       {r6(f'MAX({PRECIP})')} AS precipitacion_max FROM clean""")
+def q_stream_kpis(spark, sf):
+    folder = files.shared_path(spark, "landing")
+    fx.obs(spark, sf).select(*_OBS_COLS).repartition(4).write.parquet(folder)
+    stream = stream_kpis.observation_stream(spark, folder, files.KEYED_SCHEMA, files_per_trigger=1)
+    name = f"kpis_{uuid.uuid4().hex[:8]}"
+    return stream_kpis.run_available(stream_kpis.running_kpis(stream), name,
+                                     files.shared_path(spark, "stream-ckpt"))
