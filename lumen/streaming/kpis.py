@@ -33,9 +33,11 @@ def running_kpis(stream: DataFrame) -> DataFrame:
 
 def daily_kpis(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Per event-time day; late rows within ``watermark`` still count."""
-    timed = with_time(clean_positive(stream))
-    return (timed.withWatermark("fecha_hora", watermark)
-                 .groupBy(F.window("fecha_hora", "1 day").alias("day"))
+    # watermarks need TIMESTAMP (with time zone semantics); the derived axis is NTZ
+    timed = with_time(clean_positive(stream)).withColumn(
+        "event_time", F.col("fecha_hora").cast("timestamp"))
+    return (timed.withWatermark("event_time", watermark)
+                 .groupBy(F.window("event_time", "1 day").alias("day"))
                  .agg(F.count(F.lit(1)).alias("total_registros"),
                       F.avg(UVB).alias("uvb_promedio"), F.max(PRECIP).alias("precipitacion_max")))
 
