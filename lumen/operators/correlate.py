@@ -5,33 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.functions.numeric import pair_count, safe_corr
+from lumen.functions.numeric import nan_to_null, pair_count, safe_corr
 from lumen.functions.special import pearson_pvalue
 from lumen.operators.filters import existing
 from lumen.schema import CORR_PARTNERS, EXTENDED, PHYSICAL, UVB
 
 
-def corr_matrix(df: DataFrame, columns: list[str] = PHYSICAL,
-                digits: int | None = None, min_columns: int = 2) -> DataFrame:
-    """Pairwise-complete Pearson matrix in long form (var_x, var_y, r).
+def pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair index ``_p``, r, n) for each column pair, in one pass.
 
-    Every pair is one aggregate of a single ``agg``: one scan for the matrix.
+    Every input row becomes one (x, y) row per pair and a single ``groupBy``
+    over the pair index runs three aggregates. A single wide ``agg`` with
+    three aggregates per pair would exceed the generated-code field limit
+    (``spark.sql.codegen.maxFields``) beyond a few columns and fall back to
+    interpreted aggregation.
     """
+    cells = [F.struct(F.lit(i).alias("_p"), nan_to_null(a).alias("x"), nan_to_null(b).alias("y"))
+             for i, (a, b) in enumerate(pairs)]
+    rows = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    return rows.groupBy("_p").agg(safe_corr("x", "y").alias("r"), pair_count("x", "y").alias("n"))
+
+
+def _names(idx: str, names: list[str]):
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(idx) + 1)
+
+
+def corr_matrix(df: DataFrame, columns: list[str] = PHYSICAL,
+                digits: int | None = None, min_columns: int = 2) -> DataFrame:
+    """Pairwise-complete Pearson matrix in long form (var_x, var_y, r)."""
     cols = existing(df, columns)
     if len(cols) < min_columns:
         raise ValueError(f"need at least {min_columns} of {columns}, found {cols}")
-    aggs, cells = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            name = f"_c{i}_{j}"
-            aggs.append(safe_corr(a, cols[j]).alias(name))
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            name = f"_c{min(i, j)}_{max(i, j)}"
-            cells.append(F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
-                                  F.col(name).alias("r")))
-    row = df.agg(*aggs)
-    out = row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    stats = pair_stats(df, [(cols[i], cols[j]) for i, j in upper])
+    ij = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in upper])
+    both = stats.select("r", F.element_at(ij, F.col("_p") + 1).alias("c")).select(
+        "r", F.explode(F.array_distinct(F.array(
+            F.struct(F.col("c.i").alias("a"), F.col("c.j").alias("b")),
+            F.struct(F.col("c.j").alias("a"), F.col("c.i").alias("b"))))).alias("m"))
+    out = both.select(_names("m.a", cols).alias("var_x"), _names("m.b", cols).alias("var_y"), "r")
     if digits is not None:
         out = out.withColumn("r", F.bround("r", digits))
     return out
@@ -46,18 +58,13 @@ def pearson_table(df: DataFrame, target: str = UVB, partners: list[str] = CORR_P
                   with_p: bool = True, min_n: int = 3) -> DataFrame:
     """R, complete-pair n and two-sided p of ``target`` with each partner.
 
-    The sums are one ``agg``; the p-value is evaluated on the result rows only.
-    A test with fewer than ``min_n`` pairs, or a constant column, gives null.
+    The sums are one pass (``pair_stats``); the p-value is evaluated on the
+    result rows only. Fewer than ``min_n`` pairs, or a constant column, give null.
     """
     cols = existing(df, partners)
-    aggs = []
-    for i, v in enumerate(cols):
-        aggs += [safe_corr(target, v).alias(f"_r{i}"), pair_count(target, v).alias(f"_n{i}")]
-    row = df.agg(*aggs)
-    cells = [F.struct(F.lit(v).alias("variable"), F.col(f"_r{i}").alias("r"),
-                      F.col(f"_n{i}").alias("n")) for i, v in enumerate(cols)]
-    out = row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    out = out.withColumn("r", F.when(F.col("n") >= min_n, F.col("r")))
+    stats = pair_stats(df, [(target, v) for v in cols])
+    out = stats.select(_names("_p", cols).alias("variable"),
+                       F.when(F.col("n") >= min_n, F.col("r")).alias("r"), "n")
     if with_p:
         out = out.withColumn("p", pearson_pvalue(F.col("r"), F.col("n").cast("double")))
     return out

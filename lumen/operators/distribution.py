@@ -123,12 +123,15 @@ def kde(df: DataFrame, columns: list[str] = PHYSICAL, gridsize: int = 200, bins:
     x, h, step, lo = F.col("value"), F.col("h"), F.col("step"), F.col("vmin")
     j_lo = F.greatest(F.lit(0), F.ceil((x - F.lit(cutoff) * h - lo) / step)).cast("int")
     j_hi = F.least(F.lit(gridsize - 1), F.floor((x + F.lit(cutoff) * h - lo) / step)).cast("int")
-    contrib = (long.join(F.broadcast(e), "variable")
-                   .select("variable", "value", "h", "step", "vmin",
+    # repeated values are evaluated once, weighted by their count
+    distinct = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_w"))
+    contrib = (distinct.join(F.broadcast(e), "variable")
+                   .select("variable", "value", "_w", "h", "step", "vmin",
                            F.explode(F.sequence(j_lo, j_hi)).alias("j"))
                    .withColumn("g", F.col("j") * F.col("step") + F.col("vmin"))
                    .groupBy("variable", "j")
-                   .agg(F.sum(F.exp(F.lit(-0.5) * F.pow((F.col("g") - F.col("value")) / F.col("h"), 2)))
+                   .agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * F.pow((F.col("g") - F.col("value"))
+                                                                      / F.col("h"), 2)))
                         .alias("_s")))
     axis = e.select("variable", "h", "step", "vmin", "binw",
                     F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("j"))

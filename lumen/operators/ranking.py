@@ -7,34 +7,37 @@ a class or the whole table can hold a third of all rows. The plan is:
 
 1. aggregate to distinct ``(group, value)`` with counts (map-side partial
    aggregation, so a hot value collapses to one row before any shuffle);
-2. ``repartitionByRange`` on ``(group, value)``: the sampled range bounds give
-   a hot group as many partitions as its share of the distinct values;
-3. materialise once (``stable``) so both following passes see identical
-   partitions;
-4. per ``(partition, group)`` totals -> exclusive offsets; this table has at
-   most ``partitions + groups - 1`` rows (ranges are contiguous), which is the
-   proven bound that makes its broadcast safe;
-5. running sums inside each partition (rows arrive sorted; Arrow batches,
-   NumPy ``cumsum``), plus the partition's offset.
-
-Spark's own ``percentile`` keeps a value->count map per group in one task and
-an un-partitioned window moves all rows to one task; neither is used.
+2. cut the value axis into ``P`` buckets at approximate quantiles of the
+   distinct values (``approxQuantile``: one pass, a bounded sketch, ``P - 1``
+   numbers to the driver) and label rows with ``Bucketizer`` (binary search
+   in the JVM). A group holding a third of the values gets a third of the
+   cells;
+3. totals per ``(group, bucket)``: at most ``groups x P`` rows, the proven
+   bound that makes broadcasting their exclusive prefix sums safe;
+4. running sums inside each ``(group, bucket)`` cell with a window
+   partitioned by that cell (one hash shuffle of the distinct rows), plus the
+   cell's offset.
+
+Every pass is a deterministic function of the data and of the fixed cut
+points, so the passes agree even when a lost executor forces recomputation;
+no checkpoint is needed. Spark's own ``percentile`` keeps a value->count map
+per group in one task and an un-partitioned window moves all rows to one
+task; neither is used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
+from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumen.functions.numeric import is_valid
-from lumen.session import stable
 
 _ALL = "_all"
-_PART = "_part"
+_BUCKET = "_bkt"
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -43,71 +46,58 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _local_cumsum(group_cols: list[str], sum_cols: list[str], out_cols: list[str]):
-    """Per-partition running sums; rows arrive sorted by (part, group, order)."""
-    keys = [_PART, *group_cols]
-
-    def run(batches):
-        carry_key, carry_vals = None, None
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{o: pdf[c] for o, c in zip(out_cols, sum_cols)})
-                continue
-            cs = pdf.groupby(keys, sort=False, dropna=False)[sum_cols].cumsum()
-            if carry_key is not None:
-                first = tuple(pdf.iloc[0][k] for k in keys)
-                if first == carry_key:
-                    run_len = (pdf[keys] == pd.Series(first, index=keys)).all(axis=1).cummin()
-                    for c, v in zip(sum_cols, carry_vals):
-                        cs.loc[run_len, c] = cs.loc[run_len, c] + v
-            last = pdf.iloc[-1]
-            carry_key = tuple(last[k] for k in keys)
-            carry_vals = [cs[c].iloc[-1] for c in sum_cols]
-            yield pdf.assign(**{o: cs[c].to_numpy() for o, c in zip(out_cols, sum_cols)})
-
-    return run
+def _cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
+    """``parts - 1`` increasing cut points at approximate quantiles of ``column``."""
+    if parts <= 1:
+        return []
+    probs = [i / parts for i in range(1, parts)]
+    raw = df.select(F.col(column).cast("double").alias(column)).approxQuantile(
+        column, probs, 1.0 / (4 * parts))
+    cuts = sorted({float(c) for c in raw if c == c and abs(c) != float("inf")})
+    return cuts
 
 
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
                    num_partitions: int | None = None,
                    prefix: str = "cum_") -> tuple[DataFrame, DataFrame]:
-    """Inclusive running sums of ``sum_cols`` within each group, in order.
+    """Inclusive running sums of ``sum_cols`` within each group, in order of
+    one numeric ``order_cols`` column.
 
     Rows must be unique on ``group_cols + order_cols`` and the sum columns
     non-null. Returns ``(rows with cum_* columns, per-group totals)``.
     """
-    group_cols, order_cols, sum_cols = list(group_cols), list(order_cols), list(sum_cols)
-    if not group_cols:
-        df = df.withColumn(_ALL, F.lit(0))
-        group_cols_i = [_ALL]
+    (key,) = list(order_cols)
+    sum_cols = list(sum_cols)
+    g = list(group_cols) or [_ALL]
+    base = df if group_cols else df.withColumn(_ALL, F.lit(0))
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)  # read by three passes; recomputable
+    cuts = _cut_points(base, key, _partitions(df, num_partitions))
+    splits = [float("-inf"), *cuts, float("inf")]
+    if cuts:
+        bucketed = Bucketizer(splits=splits, inputCol=f"_{key}_d", outputCol=_BUCKET).transform(
+            base.withColumn(f"_{key}_d", F.col(key).cast("double"))).drop(f"_{key}_d")
     else:
-        group_cols_i = group_cols
-    order = [F.col(g).asc() for g in group_cols_i] + [
-        F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    ranged = (df.repartitionByRange(_partitions(df, num_partitions), *order)
-                .sortWithinPartitions(*order)
-                .withColumn(_PART, F.spark_partition_id()))
-    ranged = stable(ranged)
-
-    totals = ranged.groupBy(_PART, *group_cols_i).agg(*[F.sum(c).alias(c) for c in sum_cols])
-    before = Window.partitionBy(*group_cols_i).orderBy(_PART).rowsBetween(
-        Window.unboundedPreceding, -1)
+        bucketed = base.withColumn(_BUCKET, F.lit(0.0))
+    if descending:
+        bucketed = bucketed.withColumn(_BUCKET, F.lit(float(len(splits) - 2)) - F.col(_BUCKET))
+    bucketed = bucketed.withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
+
+    totals = bucketed.groupBy(*g, _BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    before = Window.partitionBy(*g).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        _PART, *group_cols_i,
+        *g, _BUCKET,
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
-
-    local_cols = [f"_loc_{c}" for c in sum_cols]
-    fields = {f.name: f for f in ranged.schema.fields}
-    out_schema = T.StructType(list(ranged.schema.fields) + [
-        T.StructField(o, fields[c].dataType, True) for o, c in zip(local_cols, sum_cols)])
-    local = ranged.mapInPandas(_local_cumsum(group_cols_i, sum_cols, local_cols), out_schema)
-
-    result = (local.join(F.broadcast(offsets), [_PART, *group_cols_i])
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    within = Window.partitionBy(*g, _BUCKET).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = bucketed.withColumns({f"_loc_{c}": F.sum(c).over(within) for c in sum_cols})
+    result = (local.join(F.broadcast(offsets), [*g, _BUCKET])
                    .withColumns({f"{prefix}{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}")
                                  for c in sum_cols})
-                   .drop(*local_cols, *[f"_off_{c}" for c in sum_cols], _PART))
-    group_totals = totals.groupBy(*group_cols_i).agg(*[F.sum(c).alias(c) for c in sum_cols])
+                   .drop(*[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols],
+                         _BUCKET))
+    group_totals = totals.groupBy(*g).agg(*[F.sum(c).alias(c) for c in sum_cols])
     if not group_cols:
         result = result.drop(_ALL)
         group_totals = group_totals.drop(_ALL)
@@ -121,41 +111,75 @@ def value_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = ())
               .agg(F.count(F.lit(1)).alias("_cnt")))
 
 
-def ranked_values(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-                  num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Each distinct value with its 0-based rank range [_start, _end) in its group.
-
-    Returns ``(ranges, n per group)``.
-    """
-    counts = value_counts(df, value_col, group_cols)
-    cum, totals = running_totals(counts, [value_col], ["_cnt"], group_cols,
-                                 num_partitions=num_partitions)
-    ranges = cum.select(*group_cols, value_col,
-                        (F.col("cum__cnt") - F.col("_cnt")).alias("_start"),
-                        F.col("cum__cnt").alias("_end"))
-    return ranges, totals.withColumnRenamed("_cnt", "_n")
-
-
-def order_statistics(ranges: DataFrame, value_col: str, targets: DataFrame,
-                     group_cols: Sequence[str] = ()) -> DataFrame:
-    """Values at the 0-based ranks in ``targets`` (group cols, ``_rank``, tags).
-
-    ``targets`` holds a few ranks per group, so its broadcast is bounded by
-    groups x requested ranks.
-    """
-    g = list(group_cols)
-    t = targets.alias("t")
-    r = ranges.alias("r")
-    cond = [F.col(f"r.{c}") == F.col(f"t.{c}") for c in g] + [
-        F.col("r._start") <= F.col("t._rank"), F.col("t._rank") < F.col("r._end")]
-    if not g:
-        cond = [F.col("r._k") == F.col("t._k")] + cond
-        r = ranges.withColumn("_k", F.lit(0)).alias("r")
-        t = targets.withColumn("_k", F.lit(0)).alias("t")
-    tag_cols = [c for c in targets.columns if c not in g and c != "_rank"]
-    return r.join(F.broadcast(t), cond).select(
-        *[F.col(f"r.{c}") for c in g], *[F.col(f"t.{c}") for c in tag_cols],
-        F.col(f"r.{value_col}").alias(value_col))
+def _cell_count(df: DataFrame, cells: int | None) -> int:
+    if cells:
+        return int(cells)
+    return max(1024, 4 * _partitions(df, None))
+
+
+def bucketize(df: DataFrame, value_col: str, cuts: list[float]) -> DataFrame:
+    """Adds ``_bkt``: the number of cut points <= value (monotone in value)."""
+    if not cuts:
+        return df.withColumn(_BUCKET, F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    tmp = f"_{value_col}_d"
+    return (Bucketizer(splits=splits, inputCol=tmp, outputCol=_BUCKET)
+            .transform(df.withColumn(tmp, F.col(value_col).cast("double")))
+            .drop(tmp).withColumn(_BUCKET, F.col(_BUCKET).cast("int")))
+
+
+class ValueCells:
+    """Valid values of ``value_col`` cut into cells (group, bucket) at global
+    approximate quantiles; each cell holds at most about n / cells distinct
+    values whatever the group sizes. ``cells_table`` has one row per
+    non-empty cell with its row count and rank offset inside the group."""
+
+    def __init__(self, df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
+                 cells: int | None = None):
+        self.value_col = value_col
+        self.group_cols = list(group_cols) or [_ALL]
+        self.grouped = bool(group_cols)
+        valid = df.where(is_valid(value_col)).select(*group_cols, value_col)
+        if not group_cols:
+            valid = valid.withColumn(_ALL, F.lit(0))
+        parts = _cell_count(df, cells)
+        self.cuts = _cut_points(valid, value_col, parts)
+        self.rows = bucketize(valid, value_col, self.cuts)
+        g = self.group_cols
+        per_cell = self.rows.groupBy(*g, _BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
+        before = Window.partitionBy(*g).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*g)
+        # groups x cells rows at most: small, kept so later plans reuse it
+        self.cells_table = per_cell.select(
+            *g, _BUCKET, "_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+            F.sum("_cnt").over(whole).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def group_sizes(self) -> DataFrame:
+        """(group columns, _n) for every group with at least one valid value."""
+        return self.cells_table.select(*self.group_cols, "_n").distinct()
+
+    def values_at(self, targets: DataFrame) -> DataFrame:
+        """Values at 0-based ranks: ``targets`` has the group columns, ``_rank``
+        and tag columns; the result has group columns, tags and the value."""
+        g, v = self.group_cols, self.value_col
+        if not self.grouped:
+            targets = targets.withColumn(_ALL, F.lit(0))
+        tags = [c for c in targets.columns if c not in g and c != "_rank"]
+        c = self.cells_table
+        located = (targets.join(c, g)
+                   .where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_cnt")))
+                   .select(*g, _BUCKET, *tags, (F.col("_rank") - F.col("_off")).alias("_r")))
+        wanted = located.select(*g, _BUCKET).distinct()
+        in_cells = self.rows.join(F.broadcast(wanted), [*g, _BUCKET])
+        counts = in_cells.groupBy(*g, _BUCKET, v).agg(F.count(F.lit(1)).alias("_k"))
+        w = Window.partitionBy(*g, _BUCKET).orderBy(v).rowsBetween(Window.unboundedPreceding,
+                                                                   Window.currentRow)
+        ranged = counts.select(*g, _BUCKET, v, F.sum("_k").over(w).alias("_end"),
+                               (F.sum("_k").over(w) - F.col("_k")).alias("_start"))
+        out = (ranged.join(F.broadcast(located), [*g, _BUCKET])
+                     .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
+                     .select(*g, *tags, v))
+        return out if self.grouped else out.drop(_ALL)
 
 
 def quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
@@ -167,28 +191,28 @@ def quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
     """
     g = list(group_cols)
     names = list(probs)
-    ranges, n = ranked_values(df, value_col, g, num_partitions)
+    vc = ValueCells(df, value_col, g, num_partitions)
+    gk = vc.group_cols
     spec = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p"))
                      for k, p in probs.items()])
-    pos = n.select(*g, "_n", F.explode(spec).alias("q")).select(
-        *g, "_n", F.col("q.name").alias("name"),
-        (F.col("q.p") * (F.col("_n") - 1)).alias("pos"))
-    pos = pos.select(*g, "_n", "name", "pos", F.floor("pos").cast("long").alias("lo"),
+    pos = vc.group_sizes().select(*gk, "_n", F.explode(spec).alias("q")).select(
+        *gk, "_n", F.col("q.name").alias("name"), (F.col("q.p") * (F.col("_n") - 1)).alias("pos"))
+    pos = pos.select(*gk, "_n", "name", "pos", F.floor("pos").cast("long").alias("lo"),
                      F.ceil("pos").cast("long").alias("hi"))
-    targets = pos.select(*g, "name", F.explode(F.array(
+    targets = pos.select(*gk, "name", F.explode(F.array(
         F.struct(F.lit("lo").alias("end"), F.col("lo").alias("_rank")),
         F.struct(F.lit("hi").alias("end"), F.col("hi").alias("_rank")))).alias("x")
-    ).select(*g, "name", F.col("x.end").alias("end"), F.col("x._rank").alias("_rank"))
-    found = order_statistics(ranges, value_col, targets, g)
-    both = found.groupBy(*g, "name").agg(
+    ).select(*gk, "name", F.col("x.end").alias("end"), F.col("x._rank").alias("_rank"))
+    if not g:
+        targets = targets.drop(_ALL)
+    found = vc.values_at(targets)
+    if not g:
+        found = found.withColumn(_ALL, F.lit(0))
+    both = found.groupBy(*gk, "name").agg(
         F.max(F.when(F.col("end") == "lo", F.col(value_col))).alias("v_lo"),
         F.max(F.when(F.col("end") == "hi", F.col(value_col))).alias("v_hi"))
-    interp = both.join(pos.select(*g, "_n", "name", "pos", "lo"), [*g, "name"]).select(
-        *g, F.col("_n").alias("n"), "name",
+    interp = both.join(pos.select(*gk, "_n", "name", "pos", "lo"), [*gk, "name"]).select(
+        *gk, F.col("_n").alias("n"), "name",
         (F.col("v_lo") + (F.col("pos") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
-    keys = [*g, "n"]
-    if not g:
-        interp = interp.withColumn(_ALL, F.lit(0))
-        keys = [_ALL, "n"]
-    wide = interp.groupBy(*keys).pivot("name", names).agg(F.first("q"))
-    return wide.drop(_ALL) if not g else wide
+    wide = interp.groupBy(*gk, "n").pivot("name", names).agg(F.first("q"))
+    return wide if g else wide.drop(_ALL)

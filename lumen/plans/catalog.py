@@ -557,8 +557,8 @@ def labelled(spark, sf) -> DataFrame:
     return c.withColumn("HighUVB", high_label(UVB, summarize.threshold_value(c)))
 
 
-def _split(spark, sf) -> DataFrame:
-    return split.stratified_split(labelled(spark, sf), "HighUVB", ROW_KEY, 0.2, 42)
+def _split(spark, sf, folds: int | None = None) -> DataFrame:
+    return split.stratified_split(labelled(spark, sf), "HighUVB", ROW_KEY, 0.2, 42, folds=folds)
 
 
 @register("split_counts", with_(OBS, CLEAN, _LABELLED) + "SELECT split, HighUVB, CAST(n AS BIGINT) AS n FROM sc")
@@ -592,7 +592,7 @@ fc AS (SELECT fold, HighUVB,
                    - GREATEST(0, FLOOR((s - fold - 1) / 5) + 1) AS BIGINT) AS n FROM fo)
 SELECT fold, HighUVB, n FROM fc WHERE n > 0""")
 def q_fold_counts(spark, sf):
-    return split.fold_counts(split.stratified_folds(_split(spark, sf), "HighUVB", 5), "HighUVB")
+    return split.fold_counts(_split(spark, sf, folds=5).where(F.col("split") == "train"), "HighUVB")
 
 
 # ------------------------------------------------------- E1-E5: evaluation
