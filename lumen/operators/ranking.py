@@ -111,10 +111,14 @@ def value_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = ())
               .agg(F.count(F.lit(1)).alias("_cnt")))
 
 
+# Distinct values one task may order inside a cell; more cells are cut beyond it.
+MAX_CELL_VALUES = 2_000_000
+
+
 def _cell_count(df: DataFrame, cells: int | None) -> int:
     if cells:
         return int(cells)
-    return max(1024, 4 * _partitions(df, None))
+    return max(64, 4 * _partitions(df, None))
 
 
 def bucketize(df: DataFrame, value_col: str, cuts: list[float]) -> DataFrame:
@@ -130,9 +134,11 @@ def bucketize(df: DataFrame, value_col: str, cuts: list[float]) -> DataFrame:
 
 class ValueCells:
     """Valid values of ``value_col`` cut into cells (group, bucket) at global
-    approximate quantiles; each cell holds at most about n / cells distinct
-    values whatever the group sizes. ``cells_table`` has one row per
-    non-empty cell with its row count and rank offset inside the group."""
+    approximate quantiles; each cell holds at most about n / cells rows
+    whatever the group sizes, and ties count once when a cell is ordered.
+    A cell whose estimated distinct count exceeds ``MAX_CELL_VALUES`` makes
+    the cut points finer before any ordering happens. ``cells_table`` has one
+    row per non-empty cell with its row count and rank offset in the group."""
 
     def __init__(self, df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
                  cells: int | None = None):
@@ -143,15 +149,27 @@ class ValueCells:
         if not group_cols:
             valid = valid.withColumn(_ALL, F.lit(0))
         parts = _cell_count(df, cells)
-        self.cuts = _cut_points(valid, value_col, parts)
-        self.rows = bucketize(valid, value_col, self.cuts)
-        g = self.group_cols
-        per_cell = self.rows.groupBy(*g, _BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
+        for _ in range(4):  # each round multiplies the cells; two suffice in practice
+            self._build(valid, parts)
+            widest = self.cells_table.agg(F.max("_approx_distinct")).first()[0] or 0
+            if widest <= MAX_CELL_VALUES or not self.cuts:
+                break
+            # a cell too wide for one task: cut again, proportionally finer
+            self.cells_table.unpersist()
+            parts = parts * (int(widest // MAX_CELL_VALUES) + 2)
+
+    def _build(self, valid: DataFrame, parts: int) -> None:
+        g, v = self.group_cols, self.value_col
+        self.cuts = _cut_points(valid, v, parts)
+        self.rows = bucketize(valid, v, self.cuts)
+        per_cell = self.rows.groupBy(*g, _BUCKET).agg(
+            F.count(F.lit(1)).alias("_cnt"), F.approx_count_distinct(v).alias("_approx_distinct"))
         before = Window.partitionBy(*g).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*g)
         # groups x cells rows at most: small, kept so later plans reuse it
         self.cells_table = per_cell.select(
-            *g, _BUCKET, "_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+            *g, _BUCKET, "_cnt", "_approx_distinct",
+            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
             F.sum("_cnt").over(whole).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
 
     def group_sizes(self) -> DataFrame:
@@ -215,4 +233,6 @@ def quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
         *gk, F.col("_n").alias("n"), "name",
         (F.col("v_lo") + (F.col("pos") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
     wide = interp.groupBy(*gk, "n").pivot("name", names).agg(F.first("q"))
+    # one row per group: kept, so every consumer (fences, joins, checks) reads it once
+    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
     return wide if g else wide.drop(_ALL)
