@@ -21,3 +21,13 @@ def test_cheap_queries_run_on_smoke_data(spark):
     q = entry.queries()
     for name in CHEAP:
         assert q[name](spark, "/root/testdata/sf0.001").count() >= 1, name
+
+
+def test_dashboard_analysis_runs_end_to_end(spark):
+    from lumen.plans.dashboard import analyse
+    from lumen.schema import ROW_KEY
+    from lumen.sources.fixtures import obs
+    res = analyse(spark, obs(spark, "/root/testdata/sf0.001"), key_cols=ROW_KEY)
+    sizes = {k: v.count() for k, v in res.items()}
+    assert sizes["month_table"] == 12 and sizes["kpis"] == 1 and sizes["histogram"] == 120
+    assert sizes["shapiro"] == 4 and sizes["report_by_month"] == 12
