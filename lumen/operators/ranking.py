@@ -57,6 +57,21 @@ def _cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
     return cuts
 
 
+# Distinct values one task may order inside a cell; more cells are cut beyond it.
+MAX_CELL_VALUES = 2_000_000
+
+
+def bucketize(df: DataFrame, value_col: str, cuts: list[float]) -> DataFrame:
+    """Adds ``_bkt``: the number of cut points <= value (monotone in value)."""
+    if not cuts:
+        return df.withColumn(_BUCKET, F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    tmp = f"_{value_col}_d"
+    return (Bucketizer(splits=splits, inputCol=tmp, outputCol=_BUCKET)
+            .transform(df.withColumn(tmp, F.col(value_col).cast("double")))
+            .drop(tmp).withColumn(_BUCKET, F.col(_BUCKET).cast("int")))
+
+
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
                    num_partitions: int | None = None,
@@ -72,18 +87,22 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     g = list(group_cols) or [_ALL]
     base = df if group_cols else df.withColumn(_ALL, F.lit(0))
     base = base.persist(StorageLevel.MEMORY_AND_DISK)  # read by three passes; recomputable
-    cuts = _cut_points(base, key, _partitions(df, num_partitions))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if cuts:
-        bucketed = Bucketizer(splits=splits, inputCol=f"_{key}_d", outputCol=_BUCKET).transform(
-            base.withColumn(f"_{key}_d", F.col(key).cast("double"))).drop(f"_{key}_d")
-    else:
-        bucketed = base.withColumn(_BUCKET, F.lit(0.0))
-    if descending:
-        bucketed = bucketed.withColumn(_BUCKET, F.lit(float(len(splits) - 2)) - F.col(_BUCKET))
-    bucketed = bucketed.withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
-
-    totals = bucketed.groupBy(*g, _BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    parts = _partitions(df, num_partitions)
+    for _ in range(4):  # rows are unique per (group, key): a cell's count is its width
+        cuts = _cut_points(base, key, parts)
+        bucketed = bucketize(base, key, cuts)
+        if descending:
+            bucketed = bucketed.withColumn(_BUCKET, F.lit(len(cuts)) - F.col(_BUCKET))
+        # groups x cells rows: small, kept for the width check and the offsets
+        totals = bucketed.groupBy(*g, _BUCKET).agg(
+            *[F.sum(c).alias(c) for c in sum_cols], F.count(F.lit(1)).alias("_rows")
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        widest = totals.agg(F.max("_rows")).first()[0] or 0
+        if widest <= MAX_CELL_VALUES or not cuts:
+            break
+        totals.unpersist()
+        parts = parts * (int(widest // MAX_CELL_VALUES) + 2)
+
     before = Window.partitionBy(*g).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *g, _BUCKET,
@@ -111,8 +130,6 @@ def value_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = ())
               .agg(F.count(F.lit(1)).alias("_cnt")))
 
 
-# Distinct values one task may order inside a cell; more cells are cut beyond it.
-MAX_CELL_VALUES = 2_000_000
 
 
 def _cell_count(df: DataFrame, cells: int | None) -> int:
@@ -121,17 +138,6 @@ def _cell_count(df: DataFrame, cells: int | None) -> int:
     return max(64, 4 * _partitions(df, None))
 
 
-def bucketize(df: DataFrame, value_col: str, cuts: list[float]) -> DataFrame:
-    """Adds ``_bkt``: the number of cut points <= value (monotone in value)."""
-    if not cuts:
-        return df.withColumn(_BUCKET, F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    tmp = f"_{value_col}_d"
-    return (Bucketizer(splits=splits, inputCol=tmp, outputCol=_BUCKET)
-            .transform(df.withColumn(tmp, F.col(value_col).cast("double")))
-            .drop(tmp).withColumn(_BUCKET, F.col(_BUCKET).cast("int")))
-
-
 class ValueCells:
     """Valid values of ``value_col`` cut into cells (group, bucket) at global
     approximate quantiles; each cell holds at most about n / cells rows
