@@ -12,6 +12,6 @@ from pyspark import cloudpickle as _cloudpickle
 # workers need no installed copy of the package.
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
-from lumen.session import get_session, stable  # noqa: E402
+from lumen.session import ensure_checkpoint_dir, get_session  # noqa: E402
 
-__all__ = ["get_session", "stable"]
+__all__ = ["get_session", "ensure_checkpoint_dir"]

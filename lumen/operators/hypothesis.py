@@ -83,6 +83,7 @@ def sample_cap(long: DataFrame, group: str, k: int = 5000, seed: int = 42,
     hashed = long.withColumn("_h", h)
     # hash as a uniform fraction in [0, 1)
     u = (F.col("_h").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    # one row per group (variables): a bounded table
     sizes = {r[group]: r["n"] for r in hashed.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     want = k + margin_sigmas * math.sqrt(k) + 50
     frac = {g: min(1.0, want / n) if n else 1.0 for g, n in sizes.items()}

@@ -1,7 +1,7 @@
 """Session helpers.
 
-``get_session`` is for tests, the bench and command-line use: on a cluster the
-session comes from the platform and only ``stable`` is used.
+``get_session`` is for tests, the bench and command-line use; on a cluster the
+session comes from the platform and only ``ensure_checkpoint_dir`` applies.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -38,7 +37,10 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the checkpoint folder the cluster names; set a scratch one only when unset."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no context handle
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumen-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -46,16 +48,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = configured or tempfile.mkdtemp(prefix="lumen-ckpt-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
-
-
-def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` so that several later plans see identical partitions.
-
-    With a checkpoint folder (the shared one on a cluster) the data is written
-    there and the lineage is cut, so a lost executor cannot change what the
-    second reader sees. Without one, the frame is persisted; a lost block is
-    then recomputed from the same, already fixed shuffle dependency.
-    """
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

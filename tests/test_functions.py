@@ -75,3 +75,23 @@ def test_p_values_known():
 def test_shapiro_p_monotone_and_bounded():
     ps = [shapiro_p(w, 50) for w in (0.80, 0.90, 0.95, 0.99)]
     assert all(0 <= p <= 1 for p in ps) and ps == sorted(ps)
+
+
+def test_conform_adds_null_calendar_and_rejects_missing_required(spark):
+    import pytest
+
+    from lumen.operators.clean import MissingColumnError, conform
+    df = spark.createDataFrame([(1.0, 0.5, 3)], "ALLSKY_SFC_UVB double, PRECTOTCORR double, MO int")
+    out = conform(df)
+    assert [f.name for f in out.schema.fields][-3:] == ["YEAR", "DY", "HR"]
+    assert dict(out.dtypes)["YEAR"] == "int" and out.first()["HR"] is None
+    with pytest.raises(MissingColumnError):
+        conform(df.drop("PRECTOTCORR"))
+
+
+def test_one_row_std_is_null_and_null_month_group_dropped(spark):
+    from lumen.operators.summarize import month_table
+    df = spark.createDataFrame([(1, 2.0), (2, 1.0), (2, 3.0), (None, 9.0)],
+                               "MO int, ALLSKY_SFC_UVB double")
+    got = {r["MO"]: r for r in month_table(df).collect()}
+    assert set(got) == {1, 2} and got[1]["std"] is None and got[2]["std"] == 2 ** 0.5
