@@ -189,10 +189,20 @@ class ValueCells:
         if not self.grouped:
             targets = targets.withColumn(_ALL, F.lit(0))
         tags = [c for c in targets.columns if c not in g and c != "_rank"]
-        c = self.cells_table
-        located = (targets.join(c, g)
-                   .where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_cnt")))
-                   .select(*g, _BUCKET, *tags, (F.col("_rank") - F.col("_off")).alias("_r")))
+        # Which cell holds each wanted rank: cells are contiguous, non-empty rank
+        # ranges, so it is the last cell starting at or before the rank. One
+        # window over cells and targets together (both small), no join.
+        starts = self.cells_table.select(*g, F.col("_off").alias("_pos"), F.lit(0).alias("_kind"),
+                                         _BUCKET, "_off")
+        wanted_ranks = targets.select(*g, F.col("_rank").alias("_pos"), F.lit(1).alias("_kind"), *tags)
+        both = starts.unionByName(wanted_ranks, allowMissingColumns=True)
+        upto = Window.partitionBy(*g).orderBy("_pos", "_kind").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        located = (both.select(*g, "_pos", "_kind", *tags,
+                               F.last(_BUCKET, ignorenulls=True).over(upto).alias(_BUCKET),
+                               F.last("_off", ignorenulls=True).over(upto).alias("_o"))
+                       .where(F.col("_kind") == 1)
+                       .select(*g, _BUCKET, *tags, (F.col("_pos") - F.col("_o")).alias("_r")))
         wanted = located.select(*g, _BUCKET).distinct()
         in_cells = self.rows.join(F.broadcast(wanted), [*g, _BUCKET])
         counts = in_cells.groupBy(*g, _BUCKET, v).agg(F.count(F.lit(1)).alias("_k"))
