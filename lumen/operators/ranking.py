@@ -74,10 +74,11 @@ def bucketize(df: DataFrame, value_col: str, cuts: list[float]) -> DataFrame:
 
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
-                   num_partitions: int | None = None,
-                   prefix: str = "cum_") -> tuple[DataFrame, DataFrame]:
+                   num_partitions: int | None = None, prefix: str = "cum_",
+                   next_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Inclusive running sums of ``sum_cols`` within each group, in order of
-    one numeric ``order_cols`` column.
+    one numeric ``order_cols`` column; for ``next_cols`` also the value in the
+    following row of the group (``next_<c>``, null on the last row).
 
     Rows must be unique on ``group_cols + order_cols`` and the sum columns
     non-null. Returns ``(rows with cum_* columns, per-group totals)``.
@@ -94,8 +95,10 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
         if descending:
             bucketed = bucketed.withColumn(_BUCKET, F.lit(len(cuts)) - F.col(_BUCKET))
         # groups x cells rows: small, kept for the width check and the offsets
+        pick = F.max_by if descending else F.min_by  # the cell's first row in the order
         totals = bucketed.groupBy(*g, _BUCKET).agg(
-            *[F.sum(c).alias(c) for c in sum_cols], F.count(F.lit(1)).alias("_rows")
+            *[F.sum(c).alias(c) for c in sum_cols], F.count(F.lit(1)).alias("_rows"),
+            *[pick(c, key).alias(f"_first_{c}") for c in next_cols]
         ).persist(StorageLevel.MEMORY_AND_DISK)
         widest = totals.agg(F.max("_rows")).first()[0] or 0
         if widest <= MAX_CELL_VALUES or not cuts:
@@ -104,18 +107,26 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
         parts = parts * (int(widest // MAX_CELL_VALUES) + 2)
 
     before = Window.partitionBy(*g).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    following = Window.partitionBy(*g).orderBy(_BUCKET)
     offsets = totals.select(
         *g, _BUCKET,
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+        *[F.lead(f"_first_{c}").over(following).alias(f"_nxc_{c}") for c in next_cols])
     order = F.col(key).desc() if descending else F.col(key).asc()
-    within = Window.partitionBy(*g, _BUCKET).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = bucketed.withColumns({f"_loc_{c}": F.sum(c).over(within) for c in sum_cols})
+    cell = Window.partitionBy(*g, _BUCKET).orderBy(order)
+    within = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = bucketed.withColumns({
+        **{f"_loc_{c}": F.sum(c).over(within) for c in sum_cols},
+        **{f"_nx_{c}": F.lead(c).over(cell) for c in next_cols},
+        "_last": F.lead(F.lit(1)).over(cell).isNull()})
     result = (local.join(F.broadcast(offsets), [*g, _BUCKET])
-                   .withColumns({f"{prefix}{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}")
-                                 for c in sum_cols})
+                   .withColumns({
+                       **{f"{prefix}{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in sum_cols},
+                       **{f"next_{c}": F.when(F.col("_last"), F.col(f"_nxc_{c}"))
+                                        .otherwise(F.col(f"_nx_{c}")) for c in next_cols}})
                    .drop(*[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols],
-                         _BUCKET))
+                         *[f"_nx_{c}" for c in next_cols], *[f"_nxc_{c}" for c in next_cols],
+                         "_last", _BUCKET))
     group_totals = totals.groupBy(*g).agg(*[F.sum(c).alias(c) for c in sum_cols])
     if not group_cols:
         result = result.drop(_ALL)

@@ -62,3 +62,17 @@ def test_quantiles_global_unchanged_by_repartitioning(spark):
     a = quantiles(df, "v", {"m": 0.5, "p9": 0.9}).first()
     b = quantiles(df.repartition(7), "v", {"m": 0.5, "p9": 0.9}, num_partitions=3).first()
     assert a["m"] == b["m"] == 51.0 and abs(a["p9"] - _np_q(vals, 0.9)) < 1e-12 and a["p9"] == b["p9"]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_next_row_values_cross_cells(spark, descending):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 400), "k": rng.permutation(400).astype(float),
+                        "v": rng.integers(0, 5, 400).astype("int64")})
+    cum, _ = running_totals(spark.createDataFrame(pdf), ["k"], ["v"], ["g"], descending=descending,
+                            num_partitions=9, next_cols=["v"])
+    got = cum.toPandas().sort_values(["g", "k"], ascending=[True, not descending])
+    exp = pdf.sort_values(["g", "k"], ascending=[True, not descending])
+    exp_next = exp.groupby("g")["v"].shift(-1)
+    assert got["next_v"].isna().tolist() == exp_next.isna().tolist()
+    assert got["next_v"].dropna().astype(int).tolist() == exp_next.dropna().astype(int).tolist()
