@@ -112,7 +112,8 @@ def shapiro(df: DataFrame, columns: list[str] = PHYSICAL, cap: int = 5000, seed:
     """
     keep = key_cols or []
     long = long_variables(df, columns, keep=keep).where(is_valid("value"))
-    sample = sample_cap(long, "variable", cap, seed, key_cols=keep + ["value"] if keep else None)
+    # the same rows for every variable (a seeded draw of row positions), by row key
+    sample = sample_cap(long, "variable", cap, seed, key_cols=keep or None)
     by_var = Window.partitionBy("variable")
     ranked = sample.select(
         "variable", "value",
