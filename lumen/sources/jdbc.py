@@ -46,6 +46,20 @@ def jdbc_options(profile: ConnectionProfile, table: str) -> dict[str, str]:
     return opts
 
 
+def partition_options(column: str | None, lower: int | None, upper: int | None,
+                      num_partitions: int | None) -> dict[str, str]:
+    """Options that split a JDBC scan into ``num_partitions`` range queries on
+    ``column`` (strides of (upper - lower) / num_partitions; the first and last
+    ranges are open, so no row is lost outside the bounds). Empty when the
+    scan cannot or need not be split."""
+    if not column or not num_partitions or num_partitions < 2:
+        return {}
+    if lower is None or upper is None or upper <= lower:
+        return {}
+    return {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper),
+            "numPartitions": str(num_partitions)}
+
+
 def read_table(spark: SparkSession, profile: ConnectionProfile, table: str,
                partition_column: str | None = None, lower: int | None = None,
                upper: int | None = None, num_partitions: int | None = None,
@@ -62,8 +76,5 @@ def read_table(spark: SparkSession, profile: ConnectionProfile, table: str,
                                                   f"MAX({partition_column}) AS hi FROM {table}) b"))
                  .load().select(F.col("lo").cast("long"), F.col("hi").cast("long")).first())
             lower, upper = b[0], b[1]
-        if lower is not None and upper is not None and upper > lower:
-            reader = (reader.option("partitionColumn", partition_column)
-                      .option("lowerBound", lower).option("upperBound", upper)
-                      .option("numPartitions", num_partitions))
+        reader = reader.options(**partition_options(partition_column, lower, upper, num_partitions))
     return reader.load()

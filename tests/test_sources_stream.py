@@ -59,3 +59,12 @@ def test_stream_kpis_equal_batch(spark, scratch):
     daily = sk.run_available(sk.daily_kpis(sk.observation_stream(spark, f"{scratch}/landing", OBS_SCHEMA)),
                              "daily_test", f"{scratch}/ck2", mode="append")
     assert daily.count() > 0
+
+
+def test_jdbc_partition_options():
+    o = jdbc.partition_options("id", 1, 1_000_000, 16)
+    assert o == {"partitionColumn": "id", "lowerBound": "1", "upperBound": "1000000",
+                 "numPartitions": "16"}
+    assert jdbc.partition_options("id", 5, 5, 16) == {}
+    assert jdbc.partition_options(None, 1, 9, 16) == {}
+    assert jdbc.partition_options("id", 1, 9, 1) == {}
