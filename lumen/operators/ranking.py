@@ -228,14 +228,22 @@ class ValueCells:
 
 
 def quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
-              group_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+              group_cols: Sequence[str] = (), num_partitions: int | None = None,
+              accuracy: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (NumPy/pandas default).
 
     Output: group columns, ``n`` and one column per entry of ``probs``.
-    Groups with no valid value are absent.
+    Groups with no valid value are absent. With ``accuracy`` the quantiles are
+    approximate instead (``percentile_approx``: one pass, a sketch of bounded
+    size per group, rank error about n / accuracy, values taken from the data).
     """
     g = list(group_cols)
     names = list(probs)
+    if accuracy is not None:
+        valid = df.where(is_valid(value_col))
+        arr = F.percentile_approx(value_col, [float(probs[k]) for k in names], accuracy)
+        out = valid.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), arr.alias("_q"))
+        return out.select(*g, "n", *[F.col("_q")[i].alias(k) for i, k in enumerate(names)])
     vc = ValueCells(df, value_col, g, num_partitions)
     gk = vc.group_cols
     spec = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p"))

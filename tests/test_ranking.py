@@ -76,3 +76,13 @@ def test_running_totals_next_row_values_cross_cells(spark, descending):
     exp_next = exp.groupby("g")["v"].shift(-1)
     assert got["next_v"].isna().tolist() == exp_next.isna().tolist()
     assert got["next_v"].dropna().astype(int).tolist() == exp_next.dropna().astype(int).tolist()
+
+
+def test_quantiles_approximate_mode_close_to_exact(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "v": rng.normal(0, 1, 3000)})
+    got = quantiles(spark.createDataFrame(pdf), "v", {"m": 0.5}, ["g"], accuracy=10_000).collect()
+    for r in got:
+        sub = np.sort(pdf[pdf.g == r["g"]].v.to_numpy())
+        rank = np.searchsorted(sub, r["m"])
+        assert abs(rank - 0.5 * len(sub)) <= 0.01 * len(sub) + 1 and r["n"] == len(sub)
