@@ -21,15 +21,17 @@ def checked_broadcast(small: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(small) if small.count() <= limit else small
 
 
-def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5,
+              accuracy: int | None = None) -> DataFrame:
     """Quartiles, whiskers at the last datum within ``whis`` IQR, flier counts.
 
     Whiskers follow the usual box-plot rule: the lowest datum >= q1 - whis*IQR
     (q1 if that lies above q1), the highest datum <= q3 + whis*IQR (q3 if below
     q3). Fliers are the data outside the whiskers, i.e. outside the fences.
+    Quartiles are exact unless ``accuracy`` asks for the one-pass sketch.
     """
     valid = df.where(F.col(group).isNotNull() & is_valid(value)).select(group, value)
-    q = quantiles(valid, value, {"q1": 0.25, "med": 0.5, "q3": 0.75}, [group])
+    q = quantiles(valid, value, {"q1": 0.25, "med": 0.5, "q3": 0.75}, [group], accuracy=accuracy)
     fences = q.select(group, "q1", "q3",
                       (F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_lo"),
                       (F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_hi"))
@@ -52,10 +54,11 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataF
 
 
 def box_outliers(df: DataFrame, group: str, value: str, keep: list[str],
-                 whis: float = 1.5) -> DataFrame:
+                 whis: float = 1.5, accuracy: int | None = None) -> DataFrame:
     """The flier rows themselves (group, kept columns, value, side)."""
     valid = df.where(F.col(group).isNotNull() & is_valid(value))
-    q = quantiles(valid.select(group, value), value, {"q1": 0.25, "q3": 0.75}, [group])
+    q = quantiles(valid.select(group, value), value, {"q1": 0.25, "q3": 0.75}, [group],
+                  accuracy=accuracy)
     fences = q.select(group,
                       (F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_lo"),
                       (F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_hi"))

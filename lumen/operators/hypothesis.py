@@ -51,10 +51,11 @@ def anova(df: DataFrame, group: str = "MO", value: str = UVB,
 
 
 def levene(df: DataFrame, group: str = "MO", value: str = UVB,
-           name: str = "levene_uvb_by_month") -> DataFrame:
-    """T4: Levene's test centred on exact group medians (Brown-Forsythe)."""
+           name: str = "levene_uvb_by_month", accuracy: int | None = None) -> DataFrame:
+    """T4: Levene's test centred on exact group medians (Brown-Forsythe);
+    ``accuracy`` switches the medians to the one-pass sketch."""
     valid = df.where(F.col(group).isNotNull() & is_valid(value)).select(group, value)
-    med = quantiles(valid, value, {"med": 0.5}, [group]).select(group, "med")
+    med = quantiles(valid, value, {"med": 0.5}, [group], accuracy=accuracy).select(group, "med")
     z = (valid.join(checked_broadcast(med), group)
               .select(group, F.abs(F.col(value) - F.col("med")).alias("z")))
     g = z.groupBy(group).agg(F.count("z").alias("n_i"), F.avg("z").alias("m_i"),
