@@ -191,7 +191,8 @@ class ValueCells:
 
     def group_sizes(self) -> DataFrame:
         """(group columns, _n) for every group with at least one valid value."""
-        return self.cells_table.select(*self.group_cols, "_n").distinct()
+        # a group's first cell starts at rank 0: one row per group, no shuffle
+        return self.cells_table.where(F.col("_off") == 0).select(*self.group_cols, "_n")
 
     def values_at(self, targets: DataFrame) -> DataFrame:
         """Values at 0-based ranks: ``targets`` has the group columns, ``_rank``
