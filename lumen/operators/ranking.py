@@ -1,28 +1,33 @@
-"""Distributed running totals, order statistics and exact quantiles.
+"""Distributed order statistics, exact quantiles and running totals.
 
 Exact ranks are needed by the median (A8, M1, M4), box statistics (A9-A11),
 Levene's test (T4), the stratified split and folds (M2, M3) and the ROC
 figures (E3, E4). None of them may put a whole group into one task: a month,
-a class or the whole table can hold a third of all rows. The plan is:
-
-1. aggregate to distinct ``(group, value)`` with counts (map-side partial
-   aggregation, so a hot value collapses to one row before any shuffle);
-2. cut the value axis into ``P`` buckets at approximate quantiles of the
-   distinct values (``approxQuantile``: one pass, a bounded sketch, ``P - 1``
-   numbers to the driver) and label rows with ``Bucketizer`` (binary search
-   in the JVM). A group holding a third of the values gets a third of the
-   cells;
-3. totals per ``(group, bucket)``: at most ``groups x P`` rows, the proven
-   bound that makes broadcasting their exclusive prefix sums safe;
-4. running sums inside each ``(group, bucket)`` cell with a window
-   partitioned by that cell (one hash shuffle of the distinct rows), plus the
-   cell's offset.
-
-Every pass is a deterministic function of the data and of the fixed cut
-points, so the passes agree even when a lost executor forces recomputation;
-no checkpoint is needed. Spark's own ``percentile`` keeps a value->count map
-per group in one task and an un-partitioned window moves all rows to one
-task; neither is used.
+a class or the whole table can hold a third of all rows.
+
+Order statistics (``ValueCells``, ``quantiles``):
+
+1. cut the value axis at global approximate quantiles (``approxQuantile``:
+   one pass, a bounded sketch; only the cut list reaches the driver) and label
+   rows with ``Bucketizer`` (a binary search in the JVM). Every (group, cell)
+   then holds about n / cells rows, whatever the group sizes;
+2. count rows per (group, cell) with partial aggregation: a table of at most
+   groups x cells rows, with each cell's rank offset in its group. A cell
+   whose estimated distinct count is too large for one task makes the cuts
+   finer first;
+3. find the cells holding the wanted ranks (a window over that small table
+   and the targets) and order only those cells' distinct values (ties
+   collapse into counts before the shuffle).
+
+Running totals (``running_totals``): the same cells, totals per cell, their
+prefix sums broadcast (bounded by groups x cells), and a window partitioned
+by cell for the sums (and successor values) inside it.
+
+Every pass is a deterministic function of the data and the fixed cut
+points, so passes agree when a lost executor forces recomputation; no
+checkpoint is needed. Spark's own ``percentile`` keeps a value->count map per
+group in one task and an un-partitioned window moves all rows to one task;
+neither is used.
 """
 
 from __future__ import annotations
@@ -134,15 +139,6 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     return result, group_totals
 
 
-def value_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Distinct (group, value) with multiplicity; null and NaN values skipped."""
-    return (df.where(is_valid(value_col))
-              .groupBy(*group_cols, value_col)
-              .agg(F.count(F.lit(1)).alias("_cnt")))
-
-
-
-
 def _cell_count(df: DataFrame, cells: int | None) -> int:
     if cells:
         return int(cells)
