@@ -211,6 +211,9 @@ class ValueCells:
                                F.last("_off", ignorenulls=True).over(upto).alias("_o"))
                        .where(F.col("_kind") == 1)
                        .select(*g, _BUCKET, *tags, (F.col("_pos") - F.col("_o")).alias("_r")))
+        # one row per requested rank (groups x ranks): fixed here as a local
+        # relation, so the later joins broadcast it without recomputing the window
+        located = self.rows.sparkSession.createDataFrame(located.collect(), located.schema)
         wanted = located.select(*g, _BUCKET).distinct()
         in_cells = self.rows.join(F.broadcast(wanted), [*g, _BUCKET])
         counts = in_cells.groupBy(*g, _BUCKET, v).agg(F.count(F.lit(1)).alias("_k"))
