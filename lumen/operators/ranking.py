@@ -154,8 +154,12 @@ class ValueCells:
     row per non-empty cell with its row count and rank offset in the group."""
 
     def __init__(self, df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-                 cells: int | None = None):
+                 cells: int | None = None, uniform: tuple[float, float] | None = None):
+        """``uniform=(lo, hi)`` declares the values spread evenly over [lo, hi)
+        (a seeded hash, say): equal-width cells are then balanced by
+        construction and the cut-point pass is skipped."""
         self.value_col = value_col
+        self.uniform = uniform
         self.group_cols = list(group_cols) or [_ALL]
         self.grouped = bool(group_cols)
         valid = df.where(is_valid(value_col)).select(*group_cols, value_col)
@@ -173,7 +177,11 @@ class ValueCells:
 
     def _build(self, valid: DataFrame, parts: int) -> None:
         g, v = self.group_cols, self.value_col
-        self.cuts = _cut_points(valid, v, parts)
+        if self.uniform is not None:
+            lo, hi = self.uniform
+            self.cuts = [lo + (hi - lo) * i / parts for i in range(1, parts)]
+        else:
+            self.cuts = _cut_points(valid, v, parts)
         self.rows = bucketize(valid, v, self.cuts)
         per_cell = self.rows.groupBy(*g, _BUCKET).agg(
             F.count(F.lit(1)).alias("_cnt"), F.approx_count_distinct(v).alias("_approx_distinct"))
