@@ -80,13 +80,16 @@ def bucketize(df: DataFrame, value_col: str, cuts: list[float]) -> DataFrame:
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
                    num_partitions: int | None = None, prefix: str = "cum_",
-                   next_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                   next_cols: Sequence[str] = (),
+                   held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Inclusive running sums of ``sum_cols`` within each group, in order of
     one numeric ``order_cols`` column; for ``next_cols`` also the value in the
     following row of the group (``next_<c>``, null on the last row).
 
     Rows must be unique on ``group_cols + order_cols`` and the sum columns
-    non-null. Returns ``(rows with cum_* columns, per-group totals)``.
+    non-null. Returns ``(rows with cum_* columns, per-group totals)``. The
+    input and the cell totals are cached for the passes; pass ``held`` to get
+    them back and unpersist them once the results are materialised.
     """
     (key,) = list(order_cols)
     sum_cols = list(sum_cols)
@@ -110,6 +113,8 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
             break
         totals.unpersist()
         parts = parts * (int(widest // MAX_CELL_VALUES) + 2)
+    if held is not None:
+        held += [base, totals]
 
     before = Window.partitionBy(*g).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     following = Window.partitionBy(*g).orderBy(_BUCKET)
