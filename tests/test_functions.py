@@ -95,3 +95,18 @@ def test_one_row_std_is_null_and_null_month_group_dropped(spark):
                                "MO int, ALLSKY_SFC_UVB double")
     got = {r["MO"]: r for r in month_table(df).collect()}
     assert set(got) == {1, 2} and got[1]["std"] is None and got[2]["std"] == 2 ** 0.5
+
+
+def test_filter_spec_reset_and_validation(spark):
+    import pytest
+
+    from lumen.operators.filters import FilterSpec, apply_filters, filter_season, select_variable
+    df = spark.createDataFrame([(1, 0.5), (4, 2.9), (7, 3.5), (12, 1.0)], "MO int, ALLSKY_SFC_UVB double")
+    assert FilterSpec.reset() == FilterSpec()
+    assert apply_filters(df).count() == 3                      # default range 0..3 drops 3.5
+    spec = FilterSpec(months=(1, 12, 4), value_range=(0.0, 3.0), season="verano")
+    assert sorted(r["MO"] for r in apply_filters(df, spec).collect()) == [1, 12]
+    with pytest.raises(ValueError):
+        filter_season(df, "monsoon")
+    with pytest.raises(ValueError):
+        select_variable(df, "NOT_A_VARIABLE")
