@@ -172,7 +172,7 @@ def _collect_features(texts: DataFrame, fold_case: bool) -> list[tuple]:
 
 
 def fit(labelled: DataFrame, fold_case: bool, rows_per_class: int = 1500, dims: int = 16,
-        epochs: int = 6, rate: float = 0.5, keep_share: float = 0.999, seed: int = 7) -> SubwordModel:
+        epochs: int = 5, rate: float = 0.5, keep_share: float = 0.999, seed: int = 7) -> SubwordModel:
     """Fit on ``labelled`` (label, text, key). At most about ``rows_per_class``
     rows of each class are used, those with the smallest seeded hash of their
     key; class priors come from counts over all rows. Every tenth sampled row
@@ -238,4 +238,4 @@ def fit(labelled: DataFrame, fold_case: bool, rows_per_class: int = 1500, dims:
     top = (p / p.sum(1, keepdims=True)).max(1)
     table = (emb @ out).reshape(GROUPS, BUCKETS, k)
     return SubwordModel(labels, table, bias, float(temperature), fold_case,
-                        min(0.5, float(np.quantile(top, 1 - keep_share))))
+                        min(0.4, float(np.quantile(top, 1 - keep_share))))
