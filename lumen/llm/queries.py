@@ -5,11 +5,13 @@ from __future__ import annotations
 from lumen.llm import op3_mixing
 from lumen.llm.op2_quality import op2_quality
 from lumen.llm.op7_language import op7_language_id
+from lumen.llm.op9_neardup import op9_neardup
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing.op3_mixing,
     "op7_language_id": op7_language_id,
+    "op9_neardup": op9_neardup,
 }
 
 ORACLE: dict[str, str] = {"op3_mixing": op3_mixing.ORACLE_SQL}
