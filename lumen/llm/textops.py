@@ -58,11 +58,12 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, max_bytes: int = CHUNK_BYTES,
-           split_long: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+           overlap: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Chunks ``(first document, bytes, offsets)`` of up to ``max_bytes``.
 
     A longer document comes alone, in pieces cut after white space (a single
-    word is never cut), or whole if ``split_long`` is false.
+    word is never cut); with ``overlap``, pieces are cut anywhere and each
+    repeats the last ``overlap`` bytes of the one before.
     """
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -75,14 +76,15 @@ def chunks(data: np.ndarray, offsets: np.ndarray, max_bytes: int = CHUNK_BYTES,
         lo, hi = int(offsets[i]), int(offsets[i + 1])
         while lo < hi:
             cut = hi
-            if split_long and hi - lo > max_bytes:
-                cut = lo + max_bytes
-                while cut < hi and not SPACE[data[cut - 1]]:
+            if hi - lo > max_bytes:
+                cut = lo + max(max_bytes, 2 * overlap)
+                while not overlap and cut < hi and not SPACE[data[cut - 1]]:
                     step = SPACE[data[cut:min(hi, cut + max_bytes)]]
                     at = int(step.argmax()) if step.any() else -1
                     cut = cut + at + 1 if at >= 0 else min(hi, cut + max_bytes)
+                cut = min(cut, hi)
             yield i, data[lo:cut], np.array([0, cut - lo], np.int64)
-            lo = cut
+            lo = cut if cut == hi else cut - overlap
         i += 1
 
 
