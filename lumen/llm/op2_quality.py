@@ -17,9 +17,11 @@ from lumen.llm.common import crc_of_id, read_table
 FIT_ROWS_PER_LABEL = 2000
 
 
-def fit_quality_model(labelled: DataFrame, rows_per_label: int = FIT_ROWS_PER_LABEL) -> subword.SubwordModel:
-    """``labelled``: label (0 or 1), text, key. Null texts count as empty ones."""
-    return subword.fit(labelled.where(F.col("label").isin(0, 1)), fold_case=False, rows_per_class=rows_per_label)
+def fit_quality_model(labelled: DataFrame, texts: DataFrame, rows_per_label: int = FIT_ROWS_PER_LABEL
+                      ) -> subword.SubwordModel:
+    """``labelled``: label (0 or 1), key; ``texts``: key, text. Null texts count as empty."""
+    return subword.fit(labelled.where(F.col("label").isin(0, 1)), texts, fold_case=False,
+                       rows_per_class=rows_per_label)
 
 
 def score_quality(docs: DataFrame, model: subword.SubwordModel) -> DataFrame:
@@ -48,9 +50,9 @@ def score_quality(docs: DataFrame, model: subword.SubwordModel) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = crc_of_id(F.col("doc_id")) % 3 == 1
-    labels = (read_table(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
-              .groupBy("doc_id").agg(F.max("quality").alias("label")))
-    model = fit_quality_model(
-        docs.where(~held).select("doc_id", "text").join(labels, "doc_id")
-        .select("label", "text", F.col("doc_id").alias("key")))
+    labels = (read_table(spark, sf_dir, "labels")
+              .where(F.col("quality").isNotNull() & (crc_of_id(F.col("doc_id")) % 3 != 1))
+              .groupBy(F.col("doc_id").alias("key")).agg(F.max("quality").alias("label")))
+    texts = docs.where(~held).select(F.col("doc_id").alias("key"), "text")
+    model = fit_quality_model(labels, texts)
     return score_quality(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")), model)

@@ -19,7 +19,9 @@ FIT_ROWS_PER_LANGUAGE = 1000
 
 def fit_language_model(labelled: DataFrame, rows_per_language: int = FIT_ROWS_PER_LANGUAGE) -> subword.SubwordModel:
     """``labelled``: label (language), text, key. Rows without label or text are ignored."""
-    return subword.fit(labelled.where(F.col("text").isNotNull()), fold_case=True, rows_per_class=rows_per_language)
+    labelled = labelled.where(F.col("text").isNotNull())
+    return subword.fit(labelled.select("label", "key"), labelled.select("key", "text"), fold_case=True,
+                       rows_per_class=rows_per_language)
 
 
 def identify(docs: DataFrame, model: subword.SubwordModel, text: str = "text") -> DataFrame:

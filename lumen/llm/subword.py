@@ -171,14 +171,16 @@ def _collect_features(texts: DataFrame, fold_case: bool) -> list[tuple]:
             for r in texts.mapInArrow(run, "label string, ids binary, counts binary, totals array<long>").collect()]
 
 
-def fit(labelled: DataFrame, fold_case: bool, rows_per_class: int = 1500, dims: int = 16,
+def fit(labelled: DataFrame, texts: DataFrame, fold_case: bool, rows_per_class: int, dims: int = 16,
         epochs: int = 5, rate: float = 0.5, keep_share: float = 0.999, seed: int = 7) -> SubwordModel:
-    """Fit on ``labelled`` (label, text, key). At most about ``rows_per_class``
-    rows of each class are used, those with the smallest seeded hash of their
-    key; class priors come from counts over all rows. Every tenth sampled row
-    calibrates the temperature and the rejection threshold instead."""
+    """Fit on ``labelled`` (label, key) and ``texts`` (key, text). About
+    ``rows_per_class`` rows of each class are used, those with the smallest seeded
+    hash of their key; class priors come from counts over all labelled rows. The
+    sample's keys are broadcast (``rows_per_class`` x classes), so texts are filtered
+    where they lie. Every tenth sampled row calibrates the temperature and the
+    rejection threshold instead."""
     labelled = labelled.where(F.col("label").isNotNull()).select(
-        F.col("label").cast("string").alias("label"), F.col("text"), F.col("key"))
+        F.col("label").cast("string").alias("label"), F.col("key"))
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     labels = sorted(sizes)
     k = len(labels)
@@ -188,7 +190,8 @@ def fit(labelled: DataFrame, fold_case: bool, rows_per_class: int = 1500, dims:
     share = F.lit(0.0)
     for lab, n in sizes.items():
         share = F.when(F.col("label") == lab, F.lit(min(1.0, rows_per_class / n))).otherwise(share)
-    sample = labelled.where(unit_hash(F.col("key"), seed=f"fit{seed}") < share).select("label", "text")
+    keys = labelled.where(unit_hash(F.col("key"), seed=f"fit{seed}") < share).dropDuplicates(["key"])
+    sample = texts.select("key", "text").join(F.broadcast(keys), "key").select("label", "text")
     rows = sorted(_collect_features(sample, fold_case), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     rng = np.random.default_rng(seed)
     rng.shuffle(rows)
