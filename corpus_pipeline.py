@@ -10,10 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumen.llm.common import materialize, read_table
+from lumen.llm.op1_sharding import sharding_stage
+from lumen.llm.op3_mixing import mixing_stage
+from lumen.llm.op5_decontamination import decontamination_stage
 from lumen.llm.op7_language import language_stage
+from lumen.llm.op9_neardup import neardup_stage
 
 STAGES = [
     ("language_id", language_stage),
+    ("near_duplicates", neardup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
 ]
 
 #: Trained models and iterative stages: SQL cannot express the result.

@@ -257,7 +257,8 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> tup
     """Groups of the rows of ``docs`` (doc_id, text) whose word ``n``-shingle sets
     are linked, directly or through others, at ``percent`` Jaccard similarity.
 
-    Returns (rows: doc_id, txt, key, n_shingles; classes: key, component_id). Texts
+    Returns (rows: doc_id, txt, key, n_shingles; classes: key, rep, root, component_id;
+    rep is the class member's first row, as (doc_id is null, doc_id, txt)). Texts
     compare with A-Z lowered; a text of fewer than n words has its word sequence as
     its only shingle; null, empty and blank texts have none and are in no class.
     component_id is the smallest doc_id of the class, null ids last. Repeated rows
@@ -307,17 +308,37 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> tup
     more = materialize(cross_links(materialize(placed.join(main, "b")), sets, percent).distinct())
     if more.limit(1).count():
         roots = components(links.union(more))
-    named = nodes.select("key", "rep.doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "doc_id", F.coalesce("root", "key").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = materialize(named.join(least, "root").select("key", "component_id"))
+    named = nodes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "rep", F.coalesce("root", "key").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
+    classes = materialize(named.join(least, "root"))
     return sketch.select("doc_id", "txt", "key", "n_shingles"), classes
 
 
+def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each class left: that of the smallest
+    doc_id (null ids last), of identical rows one. Rows without words are in no class
+    and stay. Columns are those of ``docs``."""
+    _, classes = near_duplicate_groups(docs, n, percent)
+    winners = classes.groupBy("root").agg(F.min("rep").alias("rep")).select(
+        F.col("rep.doc_id").alias("__id"), F.col("rep.txt").alias("__txt"))
+    has_word = F.coalesce(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    key = text_key(F.col("text"))
+    kept = (docs.where(has_word).withColumn("__key", key)
+            .join(winners, (F.col("__key") == F.col("__txt")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+            .dropDuplicates(["__txt", "__id"]).select(*docs.columns))
+    return kept.unionByName(docs.where(~has_word))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each near-duplicate group, same columns."""
+    return without_near_duplicates(docs)
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, classes = near_duplicate_groups(docs, n=3, percent=85)
-    joined = rows.join(classes, "key", "left")
+    joined = rows.join(classes.select("key", "component_id"), "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.col("doc_id").eqNullSafe(component).alias("kept"))
