@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumen.llm import op3_mixing
+from lumen.llm import op3_mixing, op8_topk
 from lumen.llm.op1_sharding import op1_sharding
 from lumen.llm.op2_quality import op2_quality
 from lumen.llm.op5_decontamination import op5_decontamination
@@ -15,7 +15,8 @@ QUERIES = {
     "op3_mixing": op3_mixing.op3_mixing,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_topk": op8_topk.op8_topk,
     "op9_neardup": op9_neardup,
 }
 
-ORACLE: dict[str, str] = {"op3_mixing": op3_mixing.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op3_mixing": op3_mixing.ORACLE_SQL, "op8_topk": op8_topk.ORACLE_SQL}
