@@ -5,6 +5,7 @@ from __future__ import annotations
 from lumen.llm import op3_mixing, op8_topk
 from lumen.llm.op1_sharding import op1_sharding
 from lumen.llm.op2_quality import op2_quality
+from lumen.llm.op4_lm import op4_lm_score
 from lumen.llm.op5_decontamination import op5_decontamination
 from lumen.llm.op7_language import op7_language_id
 from lumen.llm.op9_neardup import op9_neardup
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing.op3_mixing,
+    "op4_lm_score": op4_lm_score,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
     "op8_topk": op8_topk.op8_topk,
