@@ -7,6 +7,7 @@ from lumen.llm.op1_sharding import op1_sharding
 from lumen.llm.op2_quality import op2_quality
 from lumen.llm.op4_lm import op4_lm_score
 from lumen.llm.op5_decontamination import op5_decontamination
+from lumen.llm.op6_tokens import op6_tokens
 from lumen.llm.op7_language import op7_language_id
 from lumen.llm.op9_neardup import op9_neardup
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_mixing": op3_mixing.op3_mixing,
     "op4_lm_score": op4_lm_score,
     "op5_decontamination": op5_decontamination,
+    "op6_tokens": op6_tokens,
     "op7_language_id": op7_language_id,
     "op8_topk": op8_topk.op8_topk,
     "op9_neardup": op9_neardup,
