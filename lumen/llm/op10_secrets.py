@@ -68,7 +68,7 @@ def transitions(texts: DataFrame) -> np.ndarray:
                 a = LETTER[d]
                 pair = a[:-1] * ALPHABET + a[1:]
                 cut = o[1:-1] - 1
-                cut = cut[(cut >= 0) & (cut < len(pair))]
+                cut = np.unique(cut[(cut >= 0) & (cut < len(pair))])       # pairs across documents
                 total += np.bincount(pair, minlength=len(total)) - np.bincount(pair[cut], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)],
                                          names=["cell", "n"])

@@ -22,7 +22,7 @@ from lumen.llm.common import materialize, read_table, text_key
 SHARDS = 16
 #: A shard may exceed the mean by this share while linked documents move.
 SLACK = 0.005
-ROUNDS = 8
+ROUNDS = 2 * SHARDS
 #: Hash cells: per size class when levelling; per shard, and within, when accepting moves.
 LEVEL_CELLS, MOVE_CELLS, MOVE_PARTS = 1024, 1024, 32
 #: Rows numbered together when slots are dealt.
@@ -65,18 +65,16 @@ def propagate(members: DataFrame, state: DataFrame, cap: float, shards: int, rou
     hash of link and shard, the same for all members); moves to a shard are accepted in
     the order of a hash of the link while they fit, so the members of a link move
     together and large links in parts."""
-    for turn in range(rounds):
-        loads = shard_loads(state, shards)
-        room = [cap - x for x in loads]
-        has_room = F.element_at(F.array(*[F.lit(r > 0) for r in room]), F.col("shard") + 1)
+    closed: set[int] = set()
+    for _ in range(rounds):
+        room = [cap - x for x in shard_loads(state, shards)]
+        open_ = F.element_at(F.array(*[F.lit(r > 0 and s not in closed) for s, r in enumerate(room)]), F.col("to") + 1)
         placed = members.join(state, "id")
         counts = placed.groupBy("hub", "shard").agg(
             (F.count("*") + 0.5 * F.max(_u(F.col("hub"), F.col("shard")))).alias("weight"))
         votes = (members.join(counts, "hub").groupBy("id", "shard")
                  .agg(F.sum("weight").alias("weight"), F.min(F.xxhash64("hub")).alias("link")))
-        aims = (votes.withColumnRenamed("shard", "to").join(state, "id")
-                .where((F.col("to") == F.col("shard")) | F.element_at(
-                    F.array(*[F.lit(r > 0) for r in room]), F.col("to") + 1))
+        aims = (votes.withColumnRenamed("shard", "to").join(state, "id").where((F.col("to") == F.col("shard")) | open_)
                 .groupBy("id", "size", "shard").agg(F.max(F.struct("weight", "to", "link")).alias("aim"))
                 .select("id", "size", "shard", F.col("aim.to").alias("to"), F.col("aim.link").alias("link")))
         place = (F.pmod("link", F.lit(MOVE_CELLS)) * MOVE_PARTS
@@ -85,10 +83,13 @@ def propagate(members: DataFrame, state: DataFrame, cap: float, shards: int, rou
         cells = aims.where("to != shard").groupBy("to", "place").agg(F.sum("size").alias("bytes"))
         order = Window.partitionBy("to").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
         fits = F.sum("bytes").over(order) <= F.element_at(F.array(*[F.lit(float(r)) for r in room]), F.col("to") + 1)
-        upto = {r["to"]: r["last"] for r in cells.withColumn("fits", fits).where("fits")
-                .groupBy("to").agg(F.max("place").alias("last")).collect()}
-        if not upto:
-            return state
+        taken = (cells.withColumn("fits", fits).groupBy("to")
+                 .agg(F.max(F.when(F.col("fits"), F.col("place"))).alias("last"),
+                      F.max(~F.col("fits")).alias("refused")).collect())
+        if not taken:
+            break
+        closed |= {r["to"] for r in taken if r["refused"]}       # full: later rounds aim elsewhere
+        upto = {r["to"]: r["last"] for r in taken if r["last"] is not None}
         last = F.element_at(F.array(*[F.lit(upto.get(s, -1)) for s in range(shards)]), F.col("to") + 1)
         state = materialize(aims.select("id", "size", F.when(F.col("place") <= last, F.col("to"))
                                         .otherwise(F.col("shard")).alias("shard")))

@@ -1,0 +1,73 @@
+import zlib
+
+import numpy as np
+
+from lumen.llm import op2_quality, op7_language, op10_secrets
+from lumen.llm.common import read_table
+
+
+def test_language_on_held_out(spark, small_dir):
+    got = op7_language.op7_language_id(spark, "/root/testdata/sf0.01").toPandas()
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang").toPandas()
+    both = got.merge(docs, on="doc_id")
+    held = both[both.held_out]
+    assert list(held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4).unique()) == [2]
+    assert (held.lang_pred == held.lang).mean() > 0.98
+    assert got.score.between(0, 1).all()
+
+
+def test_language_awkward(spark, awkward, nothing, tables):
+    extra = awkward.selectExpr("*", "1 as score", "'q' as lang_pred", "2 as __letters")
+    got = {(r["doc_id"], r["lang_pred"], r["score"]) for r in op7_language.op7_language_id(spark, tables(documents=extra)).collect()}
+    assert {(i, p, s) for i, p, s in got if i in (3, 4, 5, 8)} == {(i, "und", 0.0) for i in (3, 4, 5, 8)}
+    assert all(p in ("en", "fr", "und") for _, p, _ in got)
+    kept = op7_language.language_stage(spark, awkward, "")
+    assert kept.columns == awkward.columns
+    assert op7_language.language_stage(spark, nothing, "").collect() == []
+
+
+def test_quality_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    got = op2_quality.op2_quality(spark, folder).toPandas()
+    labels = read_table(spark, folder, "labels").toPandas()
+    held = got[got.held_out].merge(labels, on="doc_id")
+    assert (held.predicted == held.quality).mean() > 0.97
+    assert len(got) == read_table(spark, folder, "documents").count()
+
+
+def test_quality_awkward(spark, awkward, nothing, tables):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, 0), (9, 0, 0), (9, None, 0), (None, 1, 0), (50, 0, 0)],
+                                   "doc_id long, quality int, toxic int")
+    got = op2_quality.op2_quality(spark, tables(documents=awkward.selectExpr("*", "1 as key", "2 as label"), labels=labels)).collect()
+    assert len(got) == awkward.count()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    same = {r["score"] for r in got if r["doc_id"] in (3, 4)}
+    assert len(same) == 1
+    assert op2_quality.op2_quality(spark, tables(documents=nothing, labels=labels.limit(0))).collect() == []
+
+
+def test_scores_do_not_depend_on_the_chunk():
+    import pyarrow as pa
+
+    from lumen.llm import subword, textops
+
+    rng = np.random.default_rng(0)
+    model = subword.SubwordModel(["0", "1"], rng.normal(size=(3, subword.BUCKETS, 2)).astype(np.float32),
+                                 np.zeros(2), 1.0, False, 0.0)
+    texts = ["Some words, some more words. " * k for k in (0, 1, 3, 50)] + ["ß", "ab", "one two two two"]
+    whole = model.probabilities(pa.array(texts))[0]
+    single = np.concatenate([model.probabilities(pa.array([t]))[0] for t in texts])
+    assert np.allclose(whole, single)
+    assert textops.column_bytes(pa.array([None, "a", None]))[1].tolist() == [0, 0, 1, 1]
+
+
+def test_secrets(spark, awkward, nothing, tables):
+    got = op10_secrets.op10_secrets(spark, "/root/testdata/sf0.01").toPandas()
+    held = got[got.held_out & got.label.notna()]
+    assert len(held) and ((held.label == 1) == held.is_secret).mean() > 0.97
+    text = "see token = \"9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee0011\" here"
+    rows = awkward.union(spark.createDataFrame([(77, text, "en", "app/x", 1)], awkward.schema))
+    folder = tables(documents=rows.selectExpr("*", "1 as start", "2 as score", "3 as features"))
+    found = [r for r in op10_secrets.op10_secrets(spark, folder).collect() if r["doc_id"] == 77]
+    assert [text.encode()[r["start"]:r["end"]].decode() for r in found] == ["9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee0011"]
+    assert op10_secrets.op10_secrets(spark, tables(documents=nothing)).collect() == []
