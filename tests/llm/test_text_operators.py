@@ -65,7 +65,7 @@ def test_components_match_all_pairs(spark, tables, awkward):
 def test_near_duplicate_stage_keeps_one_of_each_group(spark, awkward, nothing):
     rng = random.Random(5)
     base = [f"w{rng.randrange(200)}" for _ in range(150)]
-    rows = [(i, edited(rng, base, 0.01), "en", "s", 1) for i in range(30)] + [(500, " ".join(base), "en", "s", 1)] * 3
+    rows = [(1000 + i, edited(rng, base, 0.01), "en", "s", 1) for i in range(30)] + [(2000, " ".join(base), "en", "s", 1)] * 3
     docs = awkward.union(spark.createDataFrame(rows, awkward.schema))
     got = op9_neardup.without_near_duplicates(docs)
     out = [(r["doc_id"], r["text"]) for r in got.collect()]
