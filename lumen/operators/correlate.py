@@ -65,11 +65,12 @@ def corr_extended(df: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def pearson_table(df: DataFrame, target: str = UVB, partners: list[str] = CORR_PARTNERS,
-                  with_p: bool = True, min_n: int = 3) -> DataFrame:
+                  with_p: bool = True, min_n: int = 2) -> DataFrame:
     """R, complete-pair n and two-sided p of ``target`` with each partner.
 
     The sums are one pass (``pair_stats``); the p-value is evaluated on the
-    result rows only. Fewer than ``min_n`` pairs, or a constant column, give null.
+    result rows only. Fewer than ``min_n`` pairs (T2 asks for 3), or a constant column,
+    give null; two pairs give r = 1 or -1 and p = 1.
     """
     cols = existing(df, partners)
     stats = pair_stats(df, [(target, v) for v in cols])

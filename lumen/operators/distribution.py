@@ -14,6 +14,8 @@ from lumen.schema import PHYSICAL
 
 # Broadcast only what is proven small: per-group tables of low-cardinality keys.
 MAX_BROADCAST_ROWS = 100_000
+# exp(-z^2 / 2) is exactly 0 in double precision beyond this z.
+ZERO_TERM = 39.0
 
 
 def checked_broadcast(small: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -105,15 +107,13 @@ def histogram(df: DataFrame, columns: list[str] = PHYSICAL, bins: int = 30) -> D
                         F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def kde(df: DataFrame, columns: list[str] = PHYSICAL, gridsize: int = 200, bins: int = 30,
-        cutoff: float = 10.0) -> DataFrame:
+def kde(df: DataFrame, columns: list[str] = PHYSICAL, gridsize: int = 200, bins: int = 30) -> DataFrame:
     """Gaussian KDE on ``gridsize`` points from min to max, Scott bandwidth
     ``std * n^(-1/5)``, scaled to counts (x n x histogram bin width).
 
-    Each row adds to the grid points within ``cutoff`` bandwidths of it only;
-    the terms left out are below exp(-cutoff^2/2) (2e-22 for 10) of a full
-    term, so the result equals the all-pairs sum to double precision while the
-    work per row shrinks as n grows (the bandwidth shrinks with n^(-1/5)).
+    Every row adds its term to the grid points; only terms that are exactly 0 in double
+    precision (beyond ZERO_TERM bandwidths) are not evaluated. Terms are summed per grid
+    point before the shuffle, so its size is variables x grid points per task.
     Variables with zero spread have no density and no rows.
     """
     long = long_variables(df, columns).where(is_valid("value"))
@@ -124,18 +124,14 @@ def kde(df: DataFrame, columns: list[str] = PHYSICAL, gridsize: int = 200, bins:
         ((F.col("vmax") - F.col("vmin")) / F.lit(bins)).alias("binw"),
     ).where((F.col("h") > 0) & (F.col("vmax") > F.col("vmin")))
     x, h, step, lo = F.col("value"), F.col("h"), F.col("step"), F.col("vmin")
-    j_lo = F.greatest(F.lit(0), F.ceil((x - F.lit(cutoff) * h - lo) / step)).cast("int")
-    j_hi = F.least(F.lit(gridsize - 1), F.floor((x + F.lit(cutoff) * h - lo) / step)).cast("int")
-    # repeated values are evaluated once, weighted by their count
-    distinct = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_w"))
-    contrib = (distinct.join(F.broadcast(e), "variable")
-                   .select("variable", "value", "_w", "h", "step", "vmin",
-                           F.explode(F.sequence(j_lo, j_hi)).alias("j"))
+    j_lo = F.greatest(F.lit(0), F.ceil((x - F.lit(ZERO_TERM) * h - lo) / step)).cast("int")
+    j_hi = F.least(F.lit(gridsize - 1), F.floor((x + F.lit(ZERO_TERM) * h - lo) / step)).cast("int")
+    contrib = (long.join(F.broadcast(e), "variable")
+                   .where(j_lo <= j_hi)
+                   .select("variable", "value", "h", "step", "vmin", F.explode(F.sequence(j_lo, j_hi)).alias("j"))
                    .withColumn("g", F.col("j") * F.col("step") + F.col("vmin"))
                    .groupBy("variable", "j")
-                   .agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * F.pow((F.col("g") - F.col("value"))
-                                                                      / F.col("h"), 2)))
-                        .alias("_s")))
+                   .agg(F.sum(F.exp(F.lit(-0.5) * F.pow((F.col("g") - F.col("value")) / F.col("h"), 2))).alias("_s")))
     axis = e.select("variable", "h", "step", "vmin", "binw",
                     F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("j"))
     scale = F.col("binw") / (F.col("h") * F.lit(math.sqrt(2.0 * math.pi)))

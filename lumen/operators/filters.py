@@ -17,7 +17,7 @@ from lumen.schema import PHYSICAL, UVB
 
 # --- fixed values: control defaults ----------------------------------------
 DEFAULT_MONTHS = tuple(range(1, 13))
-DEFAULT_RANGE = (0.0, 3.0)
+SLIDER_BOUNDS = (0.0, 3.0)   # ends of the control; its default position sets no predicate
 DEFAULT_VARIABLE = UVB
 # ---------------------------------------------------------------------------
 
@@ -25,7 +25,7 @@ DEFAULT_VARIABLE = UVB
 @dataclass(frozen=True)
 class FilterSpec:
     months: tuple[int, ...] = DEFAULT_MONTHS
-    value_range: tuple[float, float] = DEFAULT_RANGE
+    value_range: tuple[float, float] | None = None
     season: str = ALL_SEASONS
     variable: str = DEFAULT_VARIABLE
 
@@ -77,11 +77,13 @@ def long_variables(df: DataFrame, variables: list[str] = PHYSICAL,
 
 
 def apply_filters(df: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
-    """All parts of the specification, conjunctive; the value range applies to UVB."""
+    """All parts of the specification that are set, conjunctive; the value range applies
+    to UVB. The defaults keep every row, nulls and values beyond the control's ends included."""
     out = df
     if tuple(spec.months) != DEFAULT_MONTHS:
         out = filter_months(out, spec.months)
-    out = filter_range(out, *spec.value_range, column=UVB)
+    if spec.value_range is not None:
+        out = filter_range(out, *spec.value_range, column=UVB)
     return filter_season(out, spec.season)
 
 

@@ -112,16 +112,3 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
     return df.agg(pos.alias("pos"), neg.alias("neg"),
                   F.coalesce(F.try_divide(neg.cast("double"), F.nullif(pos, F.lit(0)).cast("double")),
                              F.lit(1.0)).alias("scale_pos_weight"))
-
-
-def season_names() -> list[str]:
-    return list(SEASON_ORDER)
-
-
-def month_names() -> list[str]:
-    return list(MONTH_LABELS)
-
-
-__all__ = ["row_count", "positive_stats", "monthly_mean", "kpis", "month_table",
-           "with_season", "season_table", "month_axis", "month_dense", "season_order",
-           "median_threshold", "class_proportion", "class_weight", "season_ordinal"]

@@ -113,12 +113,6 @@ def q_conform(spark, sf):
     return C.conform(narrow).select("YEAR", "MO", "DY", "HR", UVB, PRECIP, *ROW_KEY)
 
 
-@register("load_count", with_(OBS) + "SELECT COUNT(*) AS total FROM obs")
-def q_load_count(spark, sf):
-    return summarize.row_count(fx.obs(spark, sf), "total")
-
-
-# ------------------------------------------------------ F: filters, clean
 @register("clean_positive", with_(OBS, CLEAN) + "SELECT * FROM clean")
 def q_clean(spark, sf):
     return clean_obs(spark, sf)
@@ -359,14 +353,37 @@ def q_box_season(spark, sf):
     return distribution.box_stats(summarize.with_season(clean_obs(spark, sf)), "Estacion", UVB)
 
 
-@register("box_outliers", with_(OBS, CLEAN) + f"""
-, q AS (SELECT MO, quantile_cont({PS}, 0.25) AS q1, quantile_cont({PS}, 0.75) AS q3
-        FROM clean WHERE MO IS NOT NULL GROUP BY MO),
+# a product of two variables: skewed, so that fliers exist
+_DOSE = f"{UVB} * {PRECIP} * {LW}"
+
+
+def _outlier_sql(src: str) -> str:
+    return f"""
+, d AS (SELECT MO, {KEYS}, {_DOSE} AS dose FROM {src} WHERE MO IS NOT NULL AND {LW} IS NOT NULL AND NOT isnan({LW})),
+q AS (SELECT MO, quantile_cont(dose, 0.25) AS q1, quantile_cont(dose, 0.75) AS q3 FROM d GROUP BY MO),
 f AS (SELECT MO, q1 - 1.5e0 * (q3 - q1) AS lo, q3 + 1.5e0 * (q3 - q1) AS hi FROM q)
-SELECT MO, {KEYS}, {r6(PS)} AS {PS}, CASE WHEN {PS} < lo THEN 'low' ELSE 'high' END AS side
-FROM clean JOIN f USING (MO) WHERE {PS} < lo OR {PS} > hi""")
+SELECT MO, {KEYS}, {r6('dose')} AS dose, CASE WHEN dose < lo THEN 'low' ELSE 'high' END AS side
+FROM d JOIN f USING (MO) WHERE dose < lo OR dose > hi"""
+
+
+def _with_dose(df: DataFrame) -> DataFrame:
+    return df.withColumn("dose", F.col(UVB) * F.col(PRECIP) * F.col(LW))
+
+
+@register("box_outliers", with_(OBS, CLEAN) + _outlier_sql("clean"))
 def q_box_outliers(spark, sf):
-    return distribution.box_outliers(clean_obs(spark, sf), "MO", PS, keep=ROW_KEY)
+    return distribution.box_outliers(_with_dose(clean_obs(spark, sf)), "MO", "dose", keep=ROW_KEY)
+
+
+@register("box_outliers_dirty", with_(OBS, DIRTY, DIRTY_CLEAN) + _outlier_sql("dclean"))
+def q_box_outliers_dirty(spark, sf):
+    return distribution.box_outliers(_with_dose(C.clean_positive(fx.obs_dirty(spark, sf))), "MO", "dose", keep=ROW_KEY)
+
+
+@register("box_fliers", with_(OBS, CLEAN, f"dosed AS (SELECT MO, {_DOSE} AS {UVB} FROM clean)")
+          + _box_sql("dosed", "MO", "MO"))
+def q_box_fliers(spark, sf):
+    return distribution.box_stats(_with_dose(clean_obs(spark, sf)), "MO", "dose")
 
 
 _LONG_CLEAN = f"l AS ({long_sql('clean')})"
@@ -439,7 +456,18 @@ def q_pearson_r(spark, sf):
     return correlate.pearson_table(clean_obs(spark, sf), with_p=False)
 
 
-@register("pearson_p")
+# p-values by quadrature: Simpson's rule over the density, up to where it vanishes
+_SIMPSON = "CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+@register("pearson_p", with_(OBS, CLEAN) + ", s AS (" + "\nUNION ALL ".join(
+    f"SELECT '{v}' AS variable, corr({UVB}, {v}) AS r, COUNT(*) AS n FROM clean" for v in [PRECIP, PS, LW]) + f"""),
+w AS (SELECT variable, r, n, least(1e0, 40e0 / sqrt(n)) AS top, abs(r) AS a FROM s),
+q AS (SELECT variable,
+        SUM({_SIMPSON} * pow(1 - pow(least(1e0, a + i * greatest(top - a, 0e0) / 20000), 2), (n - 4) / 2e0)) * greatest(any_value(top - a), 0e0) AS tail,
+        SUM({_SIMPSON} * pow(1 - pow(i * top / 20000, 2), (n - 4) / 2e0)) * any_value(top) AS half
+      FROM w, range(0, 20001) AS t(i) GROUP BY variable, a, top, n)
+SELECT variable, {r6('r')} AS r, n, {r6('tail / half')} AS p FROM w JOIN q USING (variable)""")
 def q_pearson_p(spark, sf):
     return correlate.pearson_table(clean_obs(spark, sf), with_p=True)
 
@@ -460,7 +488,28 @@ def q_anova(spark, sf):
     return hypothesis.anova(clean_obs(spark, sf))
 
 
-@register("anova_p")
+def _f_density(x: str) -> str:
+    return f"exp(d1 / 2 * ({x}) - (d1 + d2) / 2 * ln(1 + d1 / d2 * exp({x})))"
+
+
+def _anova_p(name: str) -> str:
+    """The statistic over the groups of ``v`` with p, by Simpson's rule over log f."""
+    return f"""
+, g AS (SELECT MO, COUNT(*) AS n_i, AVG(z) AS m_i, VAR_POP(z) AS v_i FROM v GROUP BY MO),
+t AS (SELECT SUM(n_i * m_i) / SUM(n_i) AS grand FROM g),
+st AS (SELECT COUNT(*) AS k, CAST(SUM(n_i) AS BIGINT) AS N,
+              (SUM(n_i * pow(m_i - grand, 2)) / (COUNT(*) - 1)) / (SUM(n_i * v_i) / (SUM(n_i) - COUNT(*))) AS f
+       FROM g, t),
+dd AS (SELECT k, N, f, ln(f) AS lf, k - 1e0 AS d1, N - k * 1e0 AS d2 FROM st),
+fq AS (SELECT k, N, f,
+              SUM({_SIMPSON} * {_f_density('lf + i * (12 - lf) / 20000')}) * (12 - lf) AS tail,
+              SUM({_SIMPSON} * {_f_density('-30 + i * 42e0 / 20000')}) * 42 AS whole
+       FROM dd, range(0, 20001) AS x(i) GROUP BY k, N, f, lf)
+SELECT '{name}' AS test, {r6('f')} AS statistic, k, N, {r6('tail / whole')} AS p FROM fq"""
+
+
+@register("anova_p", with_(OBS, CLEAN) + f", v AS (SELECT MO, {UVB} AS z FROM clean WHERE MO IS NOT NULL)"
+          + _anova_p("anova_uvb_by_month"))
 def q_anova_p(spark, sf):
     return hypothesis.with_f_pvalue(hypothesis.anova(clean_obs(spark, sf)))
 
@@ -473,7 +522,9 @@ def q_levene(spark, sf):
     return hypothesis.levene(clean_obs(spark, sf))
 
 
-@register("levene_p")
+@register("levene_p", with_(OBS, CLEAN) + f"""
+, m AS (SELECT MO, quantile_cont({UVB}, 0.5) AS med FROM clean WHERE MO IS NOT NULL GROUP BY MO),
+v AS (SELECT MO, abs({UVB} - med) AS z FROM clean JOIN m USING (MO))""" + _anova_p("levene_uvb_by_month"))
 def q_levene_p(spark, sf):
     return hypothesis.with_f_pvalue(hypothesis.levene(clean_obs(spark, sf)))
 
@@ -620,6 +671,23 @@ m AS (SELECT *, CASE WHEN p1 + r1 = 0 THEN 0e0 ELSE 2 * p1 * r1 / (p1 + r1) END
              CASE WHEN p0 + r0 = 0 THEN 0e0 ELSE 2 * p0 * r0 / (p0 + r0) END AS f1_0 FROM pc)"""
 
 
+# one score per order line, so runs of equal steps occur and thinning acts
+_RUNS_SQL = f"""runs AS (SELECT CASE WHEN {UVB} >= 1.5e0 THEN 1 ELSE 0 END AS label,
+  CAST(l_orderkey AS DOUBLE) + l_linenumber / 16e0 AS score FROM obs),
+ps AS (SELECT score, COUNT(*) FILTER (WHERE label = 1) AS pos,
+              COUNT(*) FILTER (WHERE label = 0) AS neg FROM runs GROUP BY score),
+cum AS (SELECT *, SUM(pos) OVER (ORDER BY score DESC) AS tps, SUM(neg) OVER (ORDER BY score DESC) AS fps,
+               ROW_NUMBER() OVER (ORDER BY score DESC) - 1 AS idx,
+               LEAD(pos) OVER (ORDER BY score DESC) AS npos, LEAD(neg) OVER (ORDER BY score DESC) AS nneg,
+               COUNT(*) OVER () AS D FROM ps)"""
+
+
+def _run_scores(spark, sf):
+    o = fx.obs(spark, sf)
+    return o.select(F.when(F.col(UVB) >= 1.5, 1).otherwise(0).alias("label"),
+                    (F.col("l_orderkey").cast("double") + F.col("l_linenumber") / F.lit(16.0)).alias("score"))
+
+
 def _scored(spark, sf):
     return evaluate.with_prediction(fx.scored(spark, sf), "score", 0.5)
 
@@ -638,23 +706,27 @@ def q_roc_auc(spark, sf):
     return evaluate.roc_auc(_scored(spark, sf))
 
 
-@register("roc_points", with_(OBS, _SCORED) + f"""
+_ROC_SQL = f"""
 , tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM ps)
 SELECT CAST('inf' AS DOUBLE) AS threshold, 0e0 AS fpr, 0e0 AS tpr
 UNION ALL
-SELECT {r6('score')}, {r6('fps / N')}, {r6('tps / P')} FROM cum, tot
-WHERE idx = 0 OR idx = D - 1 OR npos <> pos OR nneg <> neg""")
+SELECT {r6('score')}, {r6('fps / N')}, {r6('tps / P')} FROM cum, tot"""
+_THINNED = "\nWHERE idx = 0 OR idx = D - 1 OR npos <> pos OR nneg <> neg"
+
+
+@register("roc_points", with_(OBS, _RUNS_SQL) + _ROC_SQL + _THINNED)
 def q_roc_points(spark, sf):
+    return evaluate.roc_points(_run_scores(spark, sf))
+
+
+@register("roc_points_ties", with_(OBS, _SCORED) + _ROC_SQL + _THINNED)
+def q_roc_points_ties(spark, sf):
     return evaluate.roc_points(_scored(spark, sf))
 
 
-@register("roc_points_all", with_(OBS, _SCORED) + f"""
-, tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM ps)
-SELECT CAST('inf' AS DOUBLE) AS threshold, 0e0 AS fpr, 0e0 AS tpr
-UNION ALL
-SELECT {r6('score')}, {r6('fps / N')}, {r6('tps / P')} FROM cum, tot""")
+@register("roc_points_all", with_(OBS, _RUNS_SQL) + _ROC_SQL)
 def q_roc_points_all(spark, sf):
-    return evaluate.roc_points(_scored(spark, sf), drop_intermediate=False)
+    return evaluate.roc_points(_run_scores(spark, sf), drop_intermediate=False)
 
 
 @register("class_metrics", with_(OBS, _SCORED) + f"""
@@ -789,6 +861,15 @@ def q_csv_roundtrip(spark, sf):
     return files.read_csv(spark, path, files.KEYED_SCHEMA)
 
 
+@register("csv_reordered", with_(OBS, CLEAN) + f"""
+SELECT CAST(NULL AS INT) AS YEAR, MO, DY, HR, {UVB}, {LW}, {PRECIP}, {PS}, {KEYS} FROM clean""")
+def q_csv_reordered(spark, sf):
+    """Columns in another order, one calendar column missing, one column more."""
+    path = files.shared_path(spark, "csv")
+    files.write_csv(clean_obs(spark, sf).select(PS, *ROW_KEY, F.lit("x").alias("station"), LW, UVB, "MO", PRECIP, "HR", "DY"), path)
+    return C.conform(files.read_csv(spark, path, files.KEYED_SCHEMA)).select(*_OBS_COLS)
+
+
 @register("sink_roundtrip", with_(OBS, CLEAN) + "SELECT * FROM clean")
 def q_sink_roundtrip(spark, sf):
     path = files.shared_path(spark, "datos_uvb")

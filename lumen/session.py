@@ -12,6 +12,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+NO_SHARED_FOLDER = "set spark.checkpoint.dir to a folder that the driver and all executors share"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "lumen") -> SparkSession:
     builder = (
@@ -36,15 +39,23 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the checkpoint folder the cluster names; set a scratch one only when unset."""
+    """The checkpoint folder the cluster names in ``spark.checkpoint.dir``. Unset in local
+    mode, a scratch folder is made; unset elsewhere is an error, since executors do not
+    share the driver's disk."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - a remote (Connect) session has no context handle
-        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumen-ckpt-")
+        sc = None
+    if sc is None:
+        if configured:
+            return configured
+        raise RuntimeError(NO_SHARED_FOLDER)
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="lumen-ckpt-")
-    sc.setCheckpointDir(folder)
+    local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if not configured and not local:
+        raise RuntimeError(NO_SHARED_FOLDER)
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lumen-ckpt-"))
     return sc.getCheckpointDir()

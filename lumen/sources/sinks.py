@@ -11,9 +11,11 @@ from lumen.sources.jdbc import ConnectionProfile, jdbc_options
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("YEAR", "MO"),
                 mode: str = "overwrite") -> None:
     """Replace the stored table; Parquet partitioned by year and month so
-    later month filters prune whole folders. No index column is written."""
+    later month filters prune whole folders. Rows are rebalanced on the partition columns
+    first (one month's rows meet in few tasks, a hot month is split), so the number of
+    files follows the data, not tasks x months. No index column is written."""
     parts = [c for c in partition_by if c in df.columns]
-    writer = df.write.mode(mode)
+    writer = (df.hint("rebalance", *parts) if parts else df).write.mode(mode)
     if parts:
         writer = writer.partitionBy(*parts)
     writer.parquet(path)
