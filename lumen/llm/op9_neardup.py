@@ -271,11 +271,13 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> tup
         F.min(first).alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     slots = nodes.select("key", F.explode("bands").alias("b"))
-    shared = slots.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    # tables of one row a bucket are written first, so that the joins read plain shuffles on
+    # both sides and adaptive execution can split a hot bucket
+    shared = materialize(slots.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = materialize(slots.join(shared, "b"))
     central = buckets.groupBy("key").agg(F.sum("n").alias("central"))
-    pivots = buckets.join(central, "key").groupBy("b").agg(
-        F.max(F.struct("central", "key")).getField("key").alias("pivot"))
+    pivots = materialize(buckets.join(central, "key").groupBy("b").agg(
+        F.max(F.struct("central", "key")).getField("key").alias("pivot")))
     pairs = (buckets.join(pivots, "b").where("key != pivot")
              .select(F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("b")).distinct())
     side = nodes.select("key", "n_shingles", "sig")
@@ -301,7 +303,7 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> tup
     placed = (buckets.where("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left")
               .select("b", "n", "key", F.coalesce("root", "key").alias("comp")))
     sizes = placed.groupBy("b", "comp").agg(F.count("*").alias("c"))
-    main = (sizes.groupBy("b").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"),
+    main = materialize(sizes.groupBy("b").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"),
                                    F.sum("c").alias("all"))
             .where("comps > 1").select("b", F.col("top.comp").alias("main"),
                                        (F.col("all") - F.col("top.c")).alias("others")))
