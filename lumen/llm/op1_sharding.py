@@ -102,7 +102,8 @@ def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, sl
     nodes with a common hub are neighbours. Hubs of one member and null hubs link
     nothing; nodes without links are free. An empty table stays empty."""
     total = nodes.agg(F.sum("size")).first()[0] or 0
-    shared = links.where(F.col("hub").isNotNull()).groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
+    # written first: a join of plain shuffles lets adaptive execution split a hot hub
+    shared = materialize(links.where(F.col("hub").isNotNull()).groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"))
     members = materialize(links.join(shared, "hub").select("id", "hub"))
     linked_ids = members.select("id").distinct()
     linked = materialize(nodes.select("id", "size").join(linked_ids, "id"))
