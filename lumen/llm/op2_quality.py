@@ -14,7 +14,7 @@ from lumen.llm import subword
 from lumen.llm.common import crc_of_id, read_table
 
 #: Rows of each label used for fitting (the documented bound of the sample).
-FIT_ROWS_PER_LABEL = 2000
+FIT_ROWS_PER_LABEL = 1000
 
 
 def fit_quality_model(labelled: DataFrame, texts: DataFrame, rows_per_label: int = FIT_ROWS_PER_LABEL

@@ -14,7 +14,7 @@ from lumen.llm import subword
 from lumen.llm.common import crc_of_id, read_table
 
 #: Rows of each language used for fitting (the documented bound of the sample).
-FIT_ROWS_PER_LANGUAGE = 1000
+FIT_ROWS_PER_LANGUAGE = 500
 
 
 def fit_language_model(labelled: DataFrame, rows_per_language: int = FIT_ROWS_PER_LANGUAGE) -> subword.SubwordModel:

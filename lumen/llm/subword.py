@@ -161,14 +161,17 @@ def _collect_features(texts: DataFrame, fold_case: bool) -> list[tuple]:
                     counts.append(c)
                     totals.append(int(c.sum()))
                 out.append((np.concatenate(ids).astype("<i4").tobytes(),
-                            np.concatenate(counts).astype("<f4").tobytes(), totals))
+                            np.minimum(np.concatenate(counts), 65535).astype("<u2").tobytes(), totals))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array([x[0] for x in out], pa.binary()),
                  pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.int64()))],
                 names=["label", "ids", "counts", "totals"])
 
-    return [(r["label"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<f4"), r["totals"])
-            for r in texts.mapInArrow(run, "label string, ids binary, counts binary, totals array<long>").collect()]
+    # the arrays below are views of the Arrow buffers: the sample is held once
+    table = texts.mapInArrow(run, "label string, ids binary, counts binary, totals array<long>").toArrow()
+    return [(lab.as_py(), np.frombuffer(i.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<u2"),
+             np.maximum(t.as_py(), 1).astype(np.float32))
+            for lab, i, c, t in zip(*(table.column(k) for k in ("label", "ids", "counts", "totals")))]
 
 
 def fit(labelled: DataFrame, texts: DataFrame, fold_case: bool, rows_per_class: int, dims: int = 16,
@@ -196,10 +199,7 @@ def fit(labelled: DataFrame, texts: DataFrame, fold_case: bool, rows_per_class:
     rng = np.random.default_rng(seed)
     rng.shuffle(rows)
     index = {lab: i for i, lab in enumerate(labels)}
-    docs = []
-    for lab, ids, counts, totals in rows:
-        weight = counts / np.array([max(1, t) for t in totals], np.float32)[ids // BUCKETS]
-        docs.append((index[lab], ids, weight))
+    docs = [(index[lab], ids, counts, totals) for lab, ids, counts, totals in rows]
     held, train = docs[::10], [d for i, d in enumerate(docs) if i % 10]
     if not train:
         return empty
@@ -211,7 +211,8 @@ def fit(labelled: DataFrame, texts: DataFrame, fold_case: bool, rows_per_class:
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(train)):
-            y, ids, w = train[i]
+            y, ids, counts, totals = train[i]
+            w = counts / totals[ids // BUCKETS]
             e = emb[ids]
             x = w @ e
             z = x @ out + bias
@@ -227,7 +228,7 @@ def fit(labelled: DataFrame, texts: DataFrame, fold_case: bool, rows_per_class:
             emb[ids] = e - step * 0.2 * np.outer(w / np.sqrt(emb_sq[ids]), dx)
     drawn = np.bincount([d[0] for d in docs], minlength=k)
     bias = bias.astype(np.float64) + np.log([sizes[lab] for lab in labels]) - np.log(np.maximum(drawn, 1))
-    z = np.array([w @ (emb[ids] @ out) + bias for _, ids, w in held] or [bias])
+    z = np.array([(c / t[ids // BUCKETS]) @ (emb[ids] @ out) + bias for _, ids, c, t in held] or [bias])
     y = np.array([d[0] for d in held] or [0])
 
     def nll(t: float) -> float:
