@@ -12,14 +12,16 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.functions.numeric import is_valid, safe_corr
-from lumen.functions.special import (SW_C1, SW_C2, f_pvalue, normal_quantile,
-                                     shapiro_pvalue)
+from lumen.functions.numeric import is_valid
+from lumen.functions.special import SW_C1, SW_C2, f_pvalue, normal_quantile_sql, shapiro_pvalue
 from lumen.operators.distribution import checked_broadcast
 from lumen.operators.filters import long_variables
-from lumen.operators.ranking import quantiles
+from lumen.operators.ranking import quantiles, running_totals
 from lumen.schema import PHYSICAL, UVB
 
+# Ranks that one piece of a block of equal values covers.
+RANK_CHUNK = 4096
+
 
 def _anova_from_groups(g: DataFrame, name: str) -> DataFrame:
     """One-way ANOVA from per-group (n_i, mean_i, var_pop_i).
@@ -103,33 +105,43 @@ def sample_cap(long: DataFrame, group: str, k: int = 5000, seed: int = 42,
     return cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def shapiro(df: DataFrame, columns: list[str] = PHYSICAL, cap: int = 5000, seed: int = 42,
+def shapiro(df: DataFrame, columns: list[str] = PHYSICAL, sample: int | None = None, seed: int = 42,
             key_cols: list[str] | None = None) -> DataFrame:
-    """T5: Shapiro-Wilk W and p per variable on at most ``cap`` rows each.
-
-    Weights follow Royston's AS R94 approximation; W is the squared
-    correlation between the ordered sample and the weights. The windows below
-    rank a capped sample (<= cap rows per variable), never the full data.
+    """T5: Shapiro-Wilk W and p per variable, over all rows unless ``sample`` asks for that
+    many (seeded) rows of each.
+
+    Weights follow Royston's AS R94: the normal scores M_i of the ranks, scaled, with two
+    corrected weights at either end. Rows of equal value share a block of ranks; blocks
+    come from distributed running totals and are cut in chunks of ``RANK_CHUNK`` ranks,
+    dealt anew, so a value that holds a third of all rows is not ranked in one task. One
+    aggregation then gives the sums that W needs. The p-value's published range ends at
+    5,000 rows; beyond, it continues the same formula. Fewer than 3 rows, or no spread,
+    give null.
     """
-    keep = key_cols or []
-    long = long_variables(df, columns, keep=keep).where(is_valid("value"))
-    # the same rows for every variable (a seeded draw of row positions), by row key
-    sample = sample_cap(long, "variable", cap, seed, key_cols=keep or None)
-    by_var = Window.partitionBy("variable")
-    ranked = sample.select(
-        "variable", "value",
-        F.row_number().over(by_var.orderBy("value", "_h")).alias("i"),
-        F.count(F.lit(1)).over(by_var).alias("n"))
-    i, n = F.col("i"), F.col("n")
-    j = F.least(i, n + 1 - i)
-    ranked = ranked.withColumn("j", j).withColumn(
-        "m", normal_quantile((F.col("j") - F.lit(0.375)) / (n + F.lit(0.25))))
-    half = F.col("i") <= F.floor(n / 2)
-    agg = ranked.groupBy("variable").agg(
-        F.first("n").alias("n"),
-        (F.lit(2.0) * F.sum(F.when(half, F.col("m") * F.col("m")))).alias("summ2"),
-        F.max(F.when(F.col("i") == 1, F.col("m"))).alias("m1"),
-        F.max(F.when(F.col("i") == 2, F.col("m"))).alias("m2"))
+    long = long_variables(df, columns, keep=key_cols or []).where(is_valid("value"))
+    if sample:
+        long = sample_cap(long, "variable", sample, seed, key_cols=key_cols)
+    counts = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c"))
+    held: list[DataFrame] = []
+    blocks, _ = running_totals(counts, ["value"], ["c"], ["variable"], held=held)
+    whole = long.groupBy("variable").agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
+                                         (F.var_pop("value") * F.count("value")).alias("ssx"))
+    start = F.col("cum_c") - F.col("c")
+    chunks = (blocks.select("variable", "value", start.alias("start"), F.col("cum_c").alias("end"),
+                            F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / RANK_CHUNK))).alias("k"))
+              .select("variable", "value", (F.col("start") + F.col("k") * RANK_CHUNK + 1).alias("lo"),
+                      F.least(F.col("end"), F.col("start") + (F.col("k") + 1) * RANK_CHUNK).alias("hi"))
+              .repartition("variable", "value", "lo"))
+    ranks = (chunks.join(F.broadcast(whole), "variable")     # one row per variable
+             .select("variable", "n", "ssx", (F.col("value") - F.col("mean")).alias("dx"),
+                     F.explode(F.sequence("lo", "hi")).alias("i"))
+             .withColumn("m", F.expr(normal_quantile_sql("(i - 0.375e0) / (n + 0.25e0)"))))
+    at = lambda rank, what: F.max(F.when(F.col("i") == rank, F.col(what)))
+    agg = ranks.groupBy("variable").agg(
+        F.first("n").alias("n"), F.first("ssx").alias("ssx"),
+        F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("dx")).alias("mx"),
+        at(1, "m").alias("m1"), at(2, "m").alias("m2"), at(1, "dx").alias("x1"), at(2, "dx").alias("x2"),
+        at(F.col("n") - 1, "dx").alias("y2"), at(F.col("n"), "dx").alias("y1"))
     rsn = F.lit(1.0) / F.sqrt(F.col("n").cast("double"))
 
     def poly(cs):
@@ -138,29 +150,23 @@ def shapiro(df: DataFrame, columns: list[str] = PHYSICAL, cap: int = 5000, seed:
             out = out + F.lit(c) * F.pow(rsn, p)
         return out
 
-    ss = F.sqrt(F.col("summ2"))
-    a1 = poly(SW_C1) - F.col("m1") / ss
-    a2 = -F.col("m2") / ss + poly(SW_C2)
-    fac_big = F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2)
-                     / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))
-    fac_small = F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2) / (1 - 2 * a1 ** 2))
-    coef = agg.select(
-        "variable",
-        F.when(F.col("n") == 3, F.lit(math.sqrt(0.5))).otherwise(a1).alias("a1"),
-        F.when(F.col("n") > 5, a2).alias("a2"),
-        F.when(F.col("n") > 5, fac_big).otherwise(fac_small).alias("fac"))
-    weighted = ranked.join(F.broadcast(coef), "variable").withColumn(
-        "a", F.when(F.col("j") == 1, F.col("a1"))
-              .when((F.col("j") == 2) & F.col("a2").isNotNull(), F.col("a2"))
-              .otherwise(-F.col("m") / F.col("fac")))
-    signed = (F.when(F.col("i") < n + 1 - F.col("i"), -F.col("a"))
-               .when(F.col("i") > n + 1 - F.col("i"), F.col("a"))
-               .otherwise(F.lit(0.0)))
-    w = weighted.groupBy("variable").agg(
-        F.first("n").alias("n"),
-        F.pow(safe_corr(signed, F.col("value")), 2).alias("W"))
-    w = w.withColumn("W", F.when(F.col("n") >= 3, F.col("W")))
-    return w.select(F.concat(F.lit("shapiro_"), F.col("variable")).alias("test"),
-                    "variable", F.col("W").alias("statistic"),
-                    shapiro_pvalue(F.col("W"), F.col("n").cast("double")).alias("p"),
-                    F.col("n").cast("long").alias("n"))
+    two = F.col("n") > 5                                     # two corrected weights at either end
+    mm, m1, m2 = F.col("mm"), F.col("m1"), F.col("m2")
+    a1 = F.when(F.col("n") == 3, F.lit(math.sqrt(0.5))).otherwise(poly(SW_C1) - m1 / F.sqrt(mm))
+    a2 = F.when(two, poly(SW_C2) - m2 / F.sqrt(mm)).otherwise(F.lit(0.0))
+    k2 = F.when(two, m2).otherwise(F.lit(0.0))
+    inner = mm - 2 * m1 ** 2 - 2 * k2 ** 2                   # squared scores of the uncorrected ranks
+    scale = F.when(F.col("n") > 3, F.sqrt(F.try_divide(1 - 2 * a1 ** 2 - 2 * a2 ** 2, inner))).otherwise(F.lit(0.0))
+    ends1, ends2 = F.col("y1") - F.col("x1"), F.col("y2") - F.col("x2")
+    total = (scale * (F.col("mx") + m1 * ends1 + k2 * F.when(two, ends2).otherwise(F.lit(0.0)))
+             + a1 * ends1 + a2 * F.when(two, ends2).otherwise(F.lit(0.0)))
+    w = F.when((F.col("n") >= 3) & (F.col("ssx") > 0),
+               F.least(F.lit(1.0), F.try_divide(total * total, F.col("ssx"))))
+    out = agg.select(F.concat(F.lit("shapiro_"), F.col("variable")).alias("test"), "variable",
+                     w.alias("statistic"), shapiro_pvalue(w, F.col("n").cast("double")).alias("p"),
+                     F.col("n").cast("long").alias("n"))
+    out = out.persist()                                      # a few rows: kept, the ranks' caches released
+    out.count()
+    for d in held:
+        d.unpersist()
+    return out

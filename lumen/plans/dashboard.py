@@ -45,7 +45,7 @@ def analyse(spark: SparkSession, observations: DataFrame,
         "scatter_ps": clean.select(PS, UVB, "MO"),
         "anova": hypothesis.with_f_pvalue(hypothesis.anova(clean)),
         "levene": hypothesis.with_f_pvalue(hypothesis.levene(clean)),
-        "shapiro": hypothesis.shapiro(clean, PHYSICAL, key_cols=key_cols),
+        "shapiro": hypothesis.shapiro(clean, PHYSICAL),
         "series_first_days": window,
         "series_bound": ordering.series_bound(window),
     }

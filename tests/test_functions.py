@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumen.functions.calendar import (MONTH_LABELS, SEASON_ORDER, derive_timestamp,
                                       month_label, season)
 from lumen.functions.numeric import high_label, is_valid, safe_corr
-from lumen.functions.special import betainc, f_sf, norm_ppf, pearson_p, shapiro_p
+from lumen.functions.special import betainc, f_sf, normal_quantile_sql, pearson_p, shapiro_p
 
 
 def test_season_null_and_out_of_range_go_to_spring(spark):
@@ -68,8 +68,18 @@ def test_p_values_known():
     # r = 0.5, n = 10: t = 1.633, two-sided p = 0.14111
     assert abs(pearson_p(0.5, 10) - 0.1411133) < 1e-6
     assert abs(betainc(2, 3, 0.4) - 0.5248) < 1e-4
-    assert abs(norm_ppf(0.975) - 1.959964) < 1e-6
-    assert math.isnan(pearson_p(0.3, 2))
+    assert pearson_p(1.0, 2) == 1.0 and math.isnan(pearson_p(0.3, 1))
+
+
+def test_normal_quantile_expression(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    ps = [1e-12, 1e-6, 0.001, 0.024, 0.0749, 0.0751, 0.3, 0.5, 0.6, 0.975, 1 - 1e-9]
+    df = spark.createDataFrame([(p,) for p in ps], "p double").select("p", F.expr(normal_quantile_sql("p")).alias("z"))
+    for r in df.collect():
+        assert abs(r["z"] - NormalDist().inv_cdf(r["p"])) < 1e-6 * max(1, abs(r["z"]))
 
 
 def test_shapiro_p_monotone_and_bounded():
@@ -103,7 +113,7 @@ def test_filter_spec_reset_and_validation(spark):
     from lumen.operators.filters import FilterSpec, apply_filters, filter_season, select_variable
     df = spark.createDataFrame([(1, 0.5), (4, 2.9), (7, 3.5), (12, 1.0)], "MO int, ALLSKY_SFC_UVB double")
     assert FilterSpec.reset() == FilterSpec()
-    assert apply_filters(df).count() == 3                      # default range 0..3 drops 3.5
+    assert apply_filters(df).count() == 4                      # the default sets no range
     spec = FilterSpec(months=(1, 12, 4), value_range=(0.0, 3.0), season="verano")
     assert sorted(r["MO"] for r in apply_filters(df, spec).collect()) == [1, 12]
     with pytest.raises(ValueError):

@@ -59,6 +59,27 @@ def test_shapiro_classic_example_and_normal_sample(spark):
     assert got["B"]["n"] == 200 and got["B"]["statistic"] > 0.98 and got["B"]["p"] > 0.05
 
 
+def test_shapiro_uses_all_rows_and_splits_ties(spark, monkeypatch):
+    from statistics import NormalDist
+
+    from lumen.operators import hypothesis
+
+    monkeypatch.setattr(hypothesis, "RANK_CHUNK", 50)
+    x = np.concatenate((np.random.default_rng(3).normal(0, 1, 6000).round(1), np.full(900, 0.5)))
+    got = shapiro(spark.createDataFrame(pd.DataFrame({"A": x})), ["A"]).first()
+    n, xs = len(x), np.sort(x)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    u = n ** -0.5
+    poly = lambda c: sum(k * u ** i for i, k in enumerate(c))
+    from lumen.functions.special import SW_C1, SW_C2
+    a1, a2 = poly(SW_C1) - m[0] / np.sqrt(m @ m), poly(SW_C2) - m[1] / np.sqrt(m @ m)
+    a = m * np.sqrt((1 - 2 * a1 ** 2 - 2 * a2 ** 2) / (m @ m - 2 * m[0] ** 2 - 2 * m[1] ** 2))
+    a[[0, 1, -2, -1]] = -a1, -a2, a2, a1
+    assert got["n"] == n and abs(got["statistic"] - (a @ xs) ** 2 / ((xs - xs.mean()) ** 2).sum()) < 1e-9
+    few = shapiro(spark.createDataFrame(pd.DataFrame({"A": x})), ["A"], sample=500).first()
+    assert few["n"] == 500
+
+
 def test_pearson_and_matrix_properties(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=300)
