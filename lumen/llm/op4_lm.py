@@ -31,6 +31,8 @@ LOCAL_TYPES = 1 << 17
 #: Distinct words a task holds before it passes its counts on.
 HELD_WORDS = 2_000_000
 SMOOTH = 0.1
+#: Documents scored at a time: bounds what a task holds, whatever the size of an Arrow batch.
+SLICE = 2000
 
 
 def _words(column: pa.Array, hasher: tx.Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -253,7 +255,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
         hasher = tx.Hasher()
         a, b, z = model.tables()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
                 m = batch.num_rows
                 n_tokens, known, logs, lm = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
                 tails, tail_of, before = [], [], None
