@@ -62,6 +62,9 @@ def _cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
     return cuts
 
 
+# Rows of a small table (cells, requested ranks) that may reach the driver or be broadcast;
+# larger ones are checkpointed and joined by shuffle.
+MAX_SMALL_ROWS = 100_000
 # Distinct values one task may order inside a cell; more cells are cut beyond it.
 MAX_CELL_VALUES = 2_000_000
 
@@ -108,7 +111,8 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
             *[F.sum(c).alias(c) for c in sum_cols], F.count(F.lit(1)).alias("_rows"),
             *[pick(c, key).alias(f"_first_{c}") for c in next_cols]
         ).persist(StorageLevel.MEMORY_AND_DISK)
-        widest = totals.agg(F.max("_rows")).first()[0] or 0
+        widest, cells = totals.agg(F.max("_rows"), F.count(F.lit(1))).first()
+        widest = widest or 0
         if widest <= MAX_CELL_VALUES or not cuts:
             break
         totals.unpersist()
@@ -129,7 +133,7 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
         **{f"_loc_{c}": F.sum(c).over(within) for c in sum_cols},
         **{f"_nx_{c}": F.lead(c).over(cell) for c in next_cols},
         "_last": F.lead(F.lit(1)).over(cell).isNull()})
-    result = (local.join(F.broadcast(offsets), [*g, _BUCKET])
+    result = (local.join(F.broadcast(offsets) if cells <= MAX_SMALL_ROWS else offsets, [*g, _BUCKET])
                    .withColumns({
                        **{f"{prefix}{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in sum_cols},
                        **{f"next_{c}": F.when(F.col("_last"), F.col(f"_nxc_{c}"))
@@ -224,17 +228,20 @@ class ValueCells:
                                F.last("_off", ignorenulls=True).over(upto).alias("_o"))
                        .where(F.col("_kind") == 1)
                        .select(*g, _BUCKET, *tags, (F.col("_pos") - F.col("_o")).alias("_r")))
-        # one row per requested rank (groups x ranks): fixed here as a local
-        # relation, so the later joins broadcast it without recomputing the window
-        located = self.rows.sparkSession.createDataFrame(located.collect(), located.schema)
+        # one row per requested rank (groups x ranks): fixed here, so the later joins do
+        # not recompute the window; a local relation while it is small, else a checkpoint
+        some = located.limit(MAX_SMALL_ROWS + 1).collect()
+        small = len(some) <= MAX_SMALL_ROWS
+        located = self.rows.sparkSession.createDataFrame(some, located.schema) if small else located.checkpoint()
+        side = F.broadcast if small else (lambda df: df)
         wanted = located.select(*g, _BUCKET).distinct()
-        in_cells = self.rows.join(F.broadcast(wanted), [*g, _BUCKET])
+        in_cells = self.rows.join(side(wanted), [*g, _BUCKET])
         counts = in_cells.groupBy(*g, _BUCKET, v).agg(F.count(F.lit(1)).alias("_k"))
         w = Window.partitionBy(*g, _BUCKET).orderBy(v).rowsBetween(Window.unboundedPreceding,
                                                                    Window.currentRow)
         ranged = counts.select(*g, _BUCKET, v, F.sum("_k").over(w).alias("_end"),
                                (F.sum("_k").over(w) - F.col("_k")).alias("_start"))
-        out = (ranged.join(F.broadcast(located), [*g, _BUCKET])
+        out = (ranged.join(side(located), [*g, _BUCKET])
                      .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
                      .select(*g, *tags, v))
         return out if self.grouped else out.drop(_ALL)

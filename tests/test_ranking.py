@@ -86,3 +86,19 @@ def test_quantiles_approximate_mode_close_to_exact(spark):
         sub = np.sort(pdf[pdf.g == r["g"]].v.to_numpy())
         rank = np.searchsorted(sub, r["m"])
         assert abs(rank - 0.5 * len(sub)) <= 0.01 * len(sub) + 1 and r["n"] == len(sub)
+
+
+def test_many_groups_use_shuffle_joins(spark, monkeypatch):
+    """Beyond the bound on small tables, ranks are checkpointed and joined; same quantiles."""
+    import lumen.operators.ranking as ranking
+
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.integers(0, 300, 4000), "v": rng.normal(size=4000).round(2)})
+    monkeypatch.setattr(ranking, "MAX_SMALL_ROWS", 50)
+    got = ranking.quantiles(spark.createDataFrame(pdf), "v", {"q1": 0.25, "med": 0.5}, ["g"]).toPandas().set_index("g")
+    want = pdf.groupby("g").v.quantile([0.25, 0.5]).unstack()
+    assert np.allclose(got.loc[want.index, "q1"], want[0.25]) and np.allclose(got.loc[want.index, "med"], want[0.5])
+    counts = spark.createDataFrame(pdf).groupBy("v").count()
+    cum, _ = ranking.running_totals(counts, ["v"], ["count"])
+    order = cum.orderBy("v").toPandas()
+    assert (order["cum_count"] == order["count"].cumsum()).all()
