@@ -25,7 +25,8 @@ def first_days(df: DataFrame, ts: str, value: str, days: int = 7) -> DataFrame:
     """rows with ``ts`` in [min(ts), min(ts) + days], both ends included.
 
     The minimum is a scalar subquery (one small aggregate), so no join and no
-    driver round trip; the range predicate then reaches the scan.
+    driver round trip. The range predicate reaches the scan where ``ts`` is a stored
+    column; on the derived time axis it is evaluated after the scan.
     """
     base = df.where(F.col(ts).isNotNull() & is_valid(value))
     start = base.select(F.min(ts)).scalar()

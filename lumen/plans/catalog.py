@@ -918,8 +918,6 @@ def q_model_record(spark, sf):
 
 
 # ----------------------------------------------- S1-S7: sources and sinks
-import uuid  # noqa: E402
-
 from lumen.sources import files, sinks  # noqa: E402
 from lumen.streaming import kpis as stream_kpis  # noqa: E402
 
@@ -970,6 +968,5 @@ def q_stream_kpis(spark, sf):
     folder = files.shared_path(spark, "landing")
     fx.obs(spark, sf).select(*_OBS_COLS).repartition(4).write.parquet(folder)
     stream = stream_kpis.observation_stream(spark, folder, files.KEYED_SCHEMA, files_per_trigger=1)
-    name = f"kpis_{uuid.uuid4().hex[:8]}"
-    return stream_kpis.run_available(stream_kpis.running_kpis(stream), name,
+    return stream_kpis.run_available(stream_kpis.running_kpis(stream), files.shared_path(spark, "kpis"),
                                      files.shared_path(spark, "stream-ckpt"))

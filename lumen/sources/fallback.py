@@ -30,7 +30,7 @@ def load_observations(spark: SparkSession, profile: ConnectionProfile | None = N
             _ = df.schema  # resolved: the database answered
             return df, "jdbc"
         except Exception as e:  # noqa: BLE001 - any connection failure falls through
-            errors.append(f"database: {type(e).__name__}: {str(e)[:200]}")
+            errors.append(f"database: {type(e).__name__}: {e}")
     if csv_path is not None:
         if exists(spark, csv_path):
             return read_csv(spark, csv_path, schema), "csv"

@@ -42,13 +42,17 @@ def daily_kpis(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
                       F.avg(UVB).alias("uvb_promedio"), F.max(PRECIP).alias("precipitacion_max")))
 
 
-def run_available(result: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process every file present now (``availableNow``) into an in-process
-    memory table and return that table as a batch frame."""
-    q = (result.writeStream.outputMode(mode).format("memory").queryName(name)
-               .option("checkpointLocation", checkpoint)
-               .trigger(availableNow=True).start())
+def run_available(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Process every file present now (``availableNow``) into a Parquet table at ``path``
+    and return that table as a batch frame. Complete mode replaces the table after each
+    micro-batch; append mode adds the closed windows through the file sink."""
+    writer = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return result.sparkSession.table(name)
+    return result.sparkSession.read.schema(result.schema).parquet(path)

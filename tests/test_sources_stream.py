@@ -52,12 +52,12 @@ def test_stream_kpis_equal_batch(spark, scratch):
     o = _obs(spark)
     o.repartition(3).write.parquet(f"{scratch}/landing")
     st = sk.observation_stream(spark, f"{scratch}/landing", OBS_SCHEMA, files_per_trigger=1)
-    got = sk.run_available(sk.running_kpis(st), "kpis_test", f"{scratch}/ck").first()
+    got = sk.run_available(sk.running_kpis(st), f"{scratch}/kpis", f"{scratch}/ck").first()
     exp = kpis(__import__("lumen.operators.clean", fromlist=["x"]).clean_positive(o)).first()
     assert got["total_registros"] == exp["total_registros"]
     assert abs(got["uvb_promedio"] - exp["uvb_promedio"]) < 1e-12
     daily = sk.run_available(sk.daily_kpis(sk.observation_stream(spark, f"{scratch}/landing", OBS_SCHEMA)),
-                             "daily_test", f"{scratch}/ck2", mode="append")
+                             f"{scratch}/daily", f"{scratch}/ck2", mode="append")
     assert daily.count() > 0
 
 
