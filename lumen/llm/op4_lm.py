@@ -145,7 +145,7 @@ class Model:
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         return rows[first], np.add.reduceat(grad[order], first, axis=0)
 
-    def train(self, tok: np.ndarray, c1: np.ndarray, c2: np.ndarray, rate: float = 0.08) -> None:
+    def train(self, tok: np.ndarray, c1: np.ndarray, c2: np.ndarray, rate: float = 0.2) -> None:
         """One noise-contrastive step: the true class against NOISE classes drawn from
         the unigram distribution, shared by the minibatch."""
         noise = np.minimum(np.searchsorted(self.draws, self.rng.random(NOISE)), len(self.prior) - 1)
