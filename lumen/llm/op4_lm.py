@@ -77,6 +77,30 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The types of ``counts`` (word, n) at or above the smallest count that at most
+    ``most`` types reach, up to 1/1024 of a power of two. Two aggregations of at most 64
+    and 1024 rows find the count, so no task merges sorted runs of all others."""
+    power = F.floor(F.log2("n")).cast("int")
+    above, least = 0, 1
+    rows = {r["p"]: r["c"] for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("c")).collect()}
+    for p in sorted(rows, reverse=True):
+        if above + rows[p] > most:
+            least = 2 ** (p + 1)
+            width = max(1, 2 ** p // 1024)
+            cell = F.floor((F.col("n") - 2 ** p) / width).cast("int")
+            cells = {r["k"]: r["c"] for r in counts.where(power == p).groupBy(cell.alias("k"))
+                     .agg(F.count("*").alias("c")).collect()}
+            for k in sorted(cells, reverse=True):
+                if above + cells[k] > most:
+                    break
+                above += cells[k]
+                least = 2 ** p + k * width
+            break
+        above += rows[p]
+    return counts.where(F.col("n") >= least)
+
+
 class Types:
     """The most frequent types: class numbers and counts by word hash. Class 0 is the
     end of text, 1 "rare", 2.. the model's words; context CLASSES + 2 is "before the text"."""
@@ -235,8 +259,10 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     ends = train.count()
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = row["n"] + ends, row["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(LOCAL_TYPES).toArrow()
+    top = most_frequent(counts, LOCAL_TYPES).toArrow()
     words, n = np.asarray(top.column("word"), np.int64), np.asarray(top.column("n"), np.int64)
+    order = np.lexsort((words, -n))
+    words, n = words[order], n[order]
     types = Types(words, n)
     rare_n = total - ends - int(n[:CLASSES].sum())
     rare_v = distinct - (ends > 0) - min(CLASSES, len(words))

@@ -229,6 +229,21 @@ def test_classes_are_normalised():
         assert abs(np.exp((a[c1] + b[c2] - z[c1, c2]).astype(float)).sum() - 1) < 1e-4
 
 
+def test_most_frequent_types(spark):
+    rng = random.Random(6)
+    rows = [(i, int(2 ** (rng.random() * 20))) for i in range(3000)] + [(5000 + i, 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "word long, n long")
+    for most in (0, 1, 50, 700, 2999, 3899, 3900, 10_000):
+        got = [r["n"] for r in op4_lm.most_frequent(df, most).collect()]
+        want = sorted((n for _, n in rows), reverse=True)
+        assert len(got) <= most and sorted(got, reverse=True) == want[:len(got)]
+        if len(got) < min(most, len(rows)):        # the next counts tie within a cell
+            nxt = want[len(got)]
+            cell = max(1, 2 ** (nxt.bit_length() - 1) // 1024)
+            assert len(got) + sum(n // cell == nxt // cell for n in want) > most
+    assert op4_lm.most_frequent(df.limit(0), 5).collect() == []
+
+
 def test_lm_empty_tables(spark, nothing, awkward):
     none = nothing.selectExpr("doc_id", "false as held_out", "text")
     assert op4_lm.score_texts(none, awkward).collect() == []
