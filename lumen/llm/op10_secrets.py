@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumen.llm import textops as tx
 from lumen.llm.common import crc_of_id, materialize, read_table
-from lumen.llm.op4_lm import word_counts
+from lumen.llm.op4_lm import most_frequent, word_counts
 
 U = np.uint64
 #: Shortest candidate, and shortest one that is assigned to a name.
@@ -82,7 +82,7 @@ def transitions(texts: DataFrame) -> np.ndarray:
 
 def dictionary(texts: DataFrame) -> np.ndarray:
     """Sorted hashes of the most frequent words (A-Z lowered) of all texts."""
-    rows = word_counts(texts).orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word").toArrow()
+    rows = most_frequent(materialize(word_counts(texts)), DICTIONARY).select("word").toArrow()
     return np.sort(np.asarray(rows.column("word"), np.int64))
 
 
