@@ -135,7 +135,9 @@ def shapiro(df: DataFrame, columns: list[str] = PHYSICAL, sample: int | None = N
     ranks = (chunks.join(F.broadcast(whole), "variable")     # one row per variable
              .select("variable", "n", "ssx", (F.col("value") - F.col("mean")).alias("dx"),
                      F.explode(F.sequence("lo", "hi")).alias("i"))
-             .withColumn("m", F.expr(normal_quantile_sql("(i - 0.375e0) / (n + 0.25e0)"))))
+             .withColumn("p", (F.col("i") - 0.375) / (F.col("n") + 0.25))
+             .withColumns({"q": F.col("p") - 0.5, "tail": F.sqrt(-F.log(F.least("p", 1 - F.col("p"))))})
+             .withColumn("m", F.expr(normal_quantile_sql("p", "q", "tail"))))
     at = lambda rank, what: F.max(F.when(F.col("i") == rank, F.col(what)))
     agg = ranks.groupBy("variable").agg(
         F.first("n").alias("n"), F.first("ssx").alias("ssx"),
