@@ -3,8 +3,10 @@
 Linked documents (here: equal texts) start in shards of equal sizes and then, round
 by round, move to the shard that holds most of their neighbours, found by joins of
 the members with counts per (link, shard). A shard takes moves only while it is under
-its quota of bytes; what it cannot take turns to the next shards with room, so even a
-group larger than a shard fills few shards. Documents without links then level the
+its quota of bytes, and its room is taken anew every round, with what its leavers gave
+back. One that could take nothing for some rounds is closed until its room grows; what it
+cannot take turns to the next shards with room, so even a group larger than a shard fills
+few shards. Documents without links then level the
 shards: they cut no edge wherever they go. Order of moves and of levelling comes from
 seeded hashes, summed over a bounded number of hash cells, so no step sorts or gathers
 documents.
@@ -23,6 +25,8 @@ SHARDS = 16
 #: A shard may exceed the mean by this share while linked documents move.
 SLACK = 0.005
 ROUNDS = 2 * SHARDS
+#: Rounds in a row without an accepted move after which a shard that refuses is closed.
+IDLE_ROUNDS = 2
 #: Hash cells: per size class when levelling; per shard, and within, when accepting moves.
 LEVEL_CELLS, MOVE_CELLS, MOVE_PARTS = 1024, 1024, 32
 #: Rows numbered together when slots are dealt.
@@ -63,11 +67,12 @@ def propagate(members: DataFrame, state: DataFrame, cap: float, shards: int, rou
     two members or more); ``state``: id, size, shard. Every round, for every node the
     shard with most neighbours among those with room, or its own, is its aim (ties by a
     hash of link and shard, the same for all members); moves to a shard are accepted in
-    the order of a hash of the link while they fit, so the members of a link move
-    together and large links in parts."""
-    closed: set[int] = set()
-    for _ in range(rounds):
+    the order of a hash of link and round while they fit, so the members of a link move
+    together and large links in parts, and no link stands first in every round."""
+    idle, closed = [0] * shards, {}                    # closed: the shard's room at that time
+    for turn in range(rounds):
         room = [cap - x for x in shard_loads(state, shards)]
+        closed = {s: r for s, r in closed.items() if room[s] <= r}
         open_ = F.element_at(F.array(*[F.lit(r > 0 and s not in closed) for s, r in enumerate(room)]), F.col("to") + 1)
         placed = members.join(state, "id")
         counts = placed.groupBy("hub", "shard").agg(
@@ -77,7 +82,7 @@ def propagate(members: DataFrame, state: DataFrame, cap: float, shards: int, rou
         aims = (votes.withColumnRenamed("shard", "to").join(state, "id").where((F.col("to") == F.col("shard")) | open_)
                 .groupBy("id", "size", "shard").agg(F.max(F.struct("weight", "to", "link")).alias("aim"))
                 .select("id", "size", "shard", F.col("aim.to").alias("to"), F.col("aim.link").alias("link")))
-        place = (F.pmod("link", F.lit(MOVE_CELLS)) * MOVE_PARTS
+        place = (F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(MOVE_CELLS)) * MOVE_PARTS
                  + F.pmod(F.xxhash64("id"), F.lit(MOVE_PARTS))).cast("int")
         aims = materialize(aims.withColumn("place", place))
         cells = aims.where("to != shard").groupBy("to", "place").agg(F.sum("size").alias("bytes"))
@@ -88,7 +93,9 @@ def propagate(members: DataFrame, state: DataFrame, cap: float, shards: int, rou
                       F.max(~F.col("fits")).alias("refused")).collect())
         if not taken:
             break
-        closed |= {r["to"] for r in taken if r["refused"]}       # full: later rounds aim elsewhere
+        for r in taken:
+            idle[r["to"]] = idle[r["to"]] + 1 if r["refused"] and r["last"] is None else 0
+        closed |= {s: room[s] for s in range(shards) if idle[s] >= IDLE_ROUNDS and s not in closed}
         upto = {r["to"]: r["last"] for r in taken if r["last"] is not None}
         last = F.element_at(F.array(*[F.lit(upto.get(s, -1)) for s in range(shards)]), F.col("to") + 1)
         state = materialize(aims.select("id", "size", F.when(F.col("place") <= last, F.col("to"))

@@ -46,6 +46,21 @@ def test_group_larger_than_a_shard_fills_few(spark):
     assert len({r["shard"] for r in got if r["doc_id"] < 1000}) <= 8
 
 
+def test_groups_whole_where_most_documents_are_linked(spark):
+    rows = [(i, f"text of group {i % 180:04d}", "en", "s", 1) for i in range(1800)]
+    rows += [(5000 + i, f"text alone is {i:04d}", "en", "s", 1) for i in range(200)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    load = check_shards(got)
+    assert max(load.values()) <= 1.02 * sum(load.values()) / SHARDS
+    where = defaultdict(set)
+    for r in got:
+        if r["doc_id"] < 5000:
+            where[r["text_crc32"]].add(r["shard"])
+    whole = sum(len(s) == 1 for s in where.values())
+    print("whole groups", whole, "of", len(where))
+    assert whole >= 0.95 * len(where)
+
+
 def test_shard_query_and_clashing_columns(spark, tables, awkward):
     folder = tables(documents=awkward.selectExpr("*", "1 as id", "2 as shard", "3 as size", "'x' as hub", "4 as slot"))
     assert op1_sharding(spark, folder).count() == awkward.count()
