@@ -114,13 +114,18 @@ class Scanner:
     def find(self, d: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(document, start, end) of the candidates of a chunk."""
         token = CLASS[d] < 4
-        edge = np.diff(np.concatenate(([False], token, [False])).astype(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        first = token.copy()
+        first[1:] &= ~token[:-1]
+        cuts = o[1:-1]
+        cuts = cuts[(cuts > 0) & (cuts < len(d))]
+        first[cuts] = token[cuts]                        # runs must not cross documents
+        last = token.copy()
+        last[:-1] &= ~token[1:] | first[1:]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         big = end - start >= ASSIGNED
         start, end = start[big], end[big]
         doc = np.searchsorted(o, start, side="right") - 1
         for i, s, e in zip(doc.tolist(), start.tolist(), end.tolist()):
-            e = min(e, int(o[i + 1]))
             if e - s >= LONG or (e - s >= ASSIGNED and self.assignment(d[max(int(o[i]), s - 4):s])):
                 yield i, s, e
 
