@@ -111,22 +111,21 @@ class Scanner:
             np.add.at(covered, hit + size, -1)
         return float((np.cumsum(covered)[:n] > 0).mean()) if n else 0.0
 
-    def find(self, d: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(document, start, end) of the candidates of a chunk."""
-        token = CLASS[d] < 4
+    def find(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """(document, start, end) of the candidates in bytes ``lo`` to ``hi`` of a batch."""
+        token = CLASS[data[lo:hi]] < 4
         first = token.copy()
         first[1:] &= ~token[:-1]
-        cuts = o[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < len(d))]
+        cuts = offsets[np.searchsorted(offsets, lo, side="right"):np.searchsorted(offsets, hi)] - lo
         first[cuts] = token[cuts]                        # runs must not cross documents
         last = token.copy()
         last[:-1] &= ~token[1:] | first[1:]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        start, end = np.flatnonzero(first) + lo, np.flatnonzero(last) + 1 + lo
         big = end - start >= ASSIGNED
         start, end = start[big], end[big]
-        doc = np.searchsorted(o, start, side="right") - 1
+        doc = np.searchsorted(offsets, start, side="right") - 1
         for i, s, e in zip(doc.tolist(), start.tolist(), end.tolist()):
-            if e - s >= LONG or (e - s >= ASSIGNED and self.assignment(d[max(int(o[i]), s - 4):s])):
+            if e - s >= LONG or (e - s >= ASSIGNED and self.assignment(data[max(int(offsets[i]), s - 4):s])):
                 yield i, s, e
 
     @staticmethod
@@ -161,7 +160,8 @@ class Scanner:
 def candidates(docs: DataFrame, bigrams: np.ndarray, words: np.ndarray) -> DataFrame:
     """doc_id, start, end (byte offsets), token and features of every candidate in the
     texts of ``docs`` (doc_id, text, path). Null and empty texts have none, null paths are
-    empty; a very long text is scanned in overlapping pieces; repeated rows repeat."""
+    empty; a very long text is scanned in pieces cut after white space,
+    with the bytes beside a candidate read across the cuts; repeated rows repeat."""
     schema = "doc_id long, start long, end long, token string, features array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,18 +170,17 @@ def candidates(docs: DataFrame, bigrams: np.ndarray, words: np.ndarray) -> DataF
             for batch in batches:
                 data, offsets = tx.column_bytes(batch.column("text"))
                 row, lo_, hi_, token, feats = [], [], [], [], []
-                done, seen = 0, -1
-                for first, d, o in tx.chunks(data, offsets):
-                    done, seen = (done if first == seen else 0), first
-                    for i, s, e in scanner.find(d, o):
-                        path = batch.column("path")[first + i].as_py() or ""
-                        feats.append(scanner.features(d, int(o[i]), int(o[i + 1]), s, e, path))
-                        row.append(first + i)
-                        base = done - int(o[i])
-                        lo_.append(base + s)
-                        hi_.append(base + e)
-                        token.append(bytes(d[s:e]).decode("ascii"))
-                    done += len(d) if len(o) == 2 else 0
+                at = int(offsets[0])
+                for _, d, _ in tx.chunks(data, offsets):       # contiguous, the words beside are read from the batch
+                    for i, s, e in scanner.find(data, offsets, at, at + len(d)):
+                        path = batch.column("path")[i].as_py() or ""
+                        lo, hi = int(offsets[i]), int(offsets[i + 1])
+                        feats.append(scanner.features(data, lo, hi, s, e, path))
+                        row.append(i)
+                        lo_.append(s - lo)
+                        hi_.append(e - lo)
+                        token.append(bytes(data[s:e]).decode("ascii"))
+                    at += len(d)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(lo_, pa.int64()),
                      pa.array(hi_, pa.int64()), pa.array(token, pa.string()),

@@ -84,3 +84,16 @@ def test_token_at_the_start_of_a_text(spark):
     got = spans([(1, "ends in a letter", ""), (2, f"{key} is first", ""), (3, "", ""), (4, f"x = {key}", ""),
                  (5, key, ""), (6, None, ""), (7, "b" * 9, "")], spark)
     assert set(got) == {(2, 0, 20, key), (4, 4, 24, key), (5, 0, 20, key)}
+
+
+def test_token_beside_a_cut_of_a_long_text(spark):
+    from lumen.llm import textops
+
+    line = "token = ab12cd34ef more words "
+    cut = textops.CHUNK_BYTES
+    for before in (8, 19):                                  # the cut falls before or after the token
+        head = "w " * ((cut - before) // 2)
+        text = head.ljust(cut - before) + line + "w " * 9
+        got, near = spans([(1, text, "")], spark), spans([(1, "w " * 40 + line + "w " * 9, "")], spark)
+        assert [k[1:] for k in got] == [(cut - before + 8, cut - before + 18, "ab12cd34ef")]
+        assert list(got.values()) == list(near.values())
