@@ -21,7 +21,7 @@ def fit_language_model(labelled: DataFrame, rows_per_language: int = FIT_ROWS_PE
     """``labelled``: label (language), text, key. Rows without label or text are ignored."""
     labelled = labelled.where(F.col("text").isNotNull())
     return subword.fit(labelled.select("label", "key"), labelled.select("key", "text"), fold_case=True,
-                       rows_per_class=rows_per_language)
+                       rows_per_class=rows_per_language, rejection=True)
 
 
 def identify(docs: DataFrame, model: subword.SubwordModel, text: str = "text") -> DataFrame:
@@ -29,8 +29,8 @@ def identify(docs: DataFrame, model: subword.SubwordModel, text: str = "text") -
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected; so
     is every text if no two languages were learned (with one, it is that one).
-    Other texts get their likeliest language and are rejected if its calibrated
-    probability is under the model's threshold. Whole texts are scored; repeated
+    Other texts get their likeliest language and are rejected if their byte grams are
+    too rare in the learned languages, all weighed alike, whatever that probability. Whole texts are scored; repeated
     rows get equal results; all other columns pass through, but for columns of
     the three new names, which are replaced.
     """
@@ -44,15 +44,15 @@ def identify(docs: DataFrame, model: subword.SubwordModel, text: str = "text") -
         for batch in batches:
             letter = np.asarray(batch.column("__letter").to_numpy(zero_copy_only=False), bool)
             if len(model.labels):
-                p, _ = model.probabilities(batch.column(text))
+                p, _, known = model.probabilities(batch.column(text))
                 best = np.where(letter, p.argmax(1), len(model.labels))
                 score = np.where(letter, p.max(1), 0.0)
             else:
-                best, score = np.zeros(len(letter), int), np.zeros(len(letter))
+                best, score, known = np.zeros(len(letter), int), np.zeros(len(letter)), np.zeros(len(letter))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(names))]
                 + [pa.array(labels[best], pa.string()), pa.array(score, pa.float64()),
-                   pa.array(~letter | (score < model.reject_below) | (best == len(model.labels)))],
+                   pa.array(~letter | (known < model.reject_below) | (best == len(model.labels)))],
                 names=names + ["lang_pred", "score", "rejected"])
 
     return docs.withColumn("__letter", has_letter).mapInArrow(

@@ -114,14 +114,16 @@ class SubwordModel:
     bias: np.ndarray
     temperature: float
     fold_case: bool
-    reject_below: float        # calibrated confidence under which a text is rejected
+    reject_below: float        # evidence under which a text is rejected
+    density: np.ndarray | None = None  # log density of the byte grams over all classes alike
+    spread: float = 0.0        # deviation of one gram's log density
 
-    def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(class probabilities, features seen) of every text."""
+    def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class probabilities, features seen, evidence) of every text."""
         data, offsets = tx.column_bytes(column)
         n, k = len(offsets) - 1, len(self.labels)
         feats = Features(self.fold_case)
-        sums, seen = np.zeros((n, GROUPS, k)), np.zeros((n, GROUPS), np.int64)
+        sums, seen, dense = np.zeros((n, GROUPS, k)), np.zeros((n, GROUPS), np.int64), np.zeros(n)
         with np.errstate(over="ignore"):
             for first, d, o in tx.chunks(data, offsets):
                 docs = len(o) - 1
@@ -129,6 +131,9 @@ class SubwordModel:
                     size = np.diff(bounds)
                     some = np.flatnonzero(size > 0)
                     if len(some):
+                        if g == 0 and self.density is not None:
+                            dense[first + some] += np.add.reduceat(
+                                np.take(self.density, ids), bounds[:-1][some], dtype=np.float64)
                         for c in range(k):
                             sums[first + some, g, c] += np.add.reduceat(
                                 np.take(self.table[g, :, c], ids), bounds[:-1][some], dtype=np.float64)
@@ -137,7 +142,47 @@ class SubwordModel:
         logits /= self.temperature
         logits -= logits.max(1, keepdims=True) if k else 0
         p = np.exp(logits)
-        return p / p.sum(1, keepdims=True) if k else p, seen.sum(1)
+        known = evidence(dense, seen[:, 0], self.spread) if self.density is not None else np.full(n, np.inf)
+        return p / p.sum(1, keepdims=True) if k else p, seen.sum(1), known
+
+
+def evidence(total: np.ndarray, n: np.ndarray, spread: float) -> np.ndarray:
+    """Mean log density of a text's ``n`` grams and two standard errors, so that a short
+    text is not rejected by chance; -inf without any gram. Class sizes play no part."""
+    some = np.maximum(n, 1)
+    return np.where(n > 0, total / some + 2 * spread / np.sqrt(some), -np.inf)
+
+
+def calibrate_rejection(train: list[tuple], held: list[tuple], k: int, keep_share: float
+                        ) -> tuple[np.ndarray, float, float]:
+    """(log density, spread, threshold) from rows (class, ids, counts, totals). The grams'
+    density is the mean of the classes'. Rows of ``held`` scored without their own class
+    show what texts of an unlearned class look like; the threshold lies halfway between
+    them and the known ones, but never rejects over 1 - ``keep_share`` of these."""
+    share, drawn = np.zeros((k, BUCKETS)), np.zeros(k)
+
+    def grams(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return ids[ids < BUCKETS], counts[ids < BUCKETS].astype(np.float64)
+
+    for y, ids, counts, _ in train:
+        i, c = grams(ids, counts)
+        share[y, i] += c / max(1.0, c.sum())
+        drawn[y] += 1
+    share = 0.99 * share / np.maximum(drawn, 1)[:, None] + 0.01 / BUCKETS
+    density = np.log(share.mean(0))
+    spread = float(np.sqrt(share.mean(0) @ (density - share.mean(0) @ density) ** 2))
+    others = [np.log(np.delete(share, y, 0).mean(0)) for y in range(k)]
+    known, foreign = [], []
+    for y, ids, counts, _ in held:
+        i, c = grams(ids, counts)
+        if len(i):
+            n = np.array([c.sum()])
+            known.append(evidence(np.array([c @ density[i]]), n, spread)[0])
+            foreign.append(evidence(np.array([c @ others[y][i]]), n, spread)[0])
+    if not known:
+        return density.astype(np.float32), spread, -np.inf
+    low = float(np.quantile(known, 1 - keep_share))
+    return density.astype(np.float32), spread, min(low, (low + float(np.median(foreign))) / 2)
 
 
 def _collect_features(texts: DataFrame, fold_case: bool) -> list[tuple]:
@@ -175,13 +220,14 @@ def _collect_features(texts: DataFrame, fold_case: bool) -> list[tuple]:
 
 
 def fit(labelled: DataFrame, texts: DataFrame, fold_case: bool, rows_per_class: int, dims: int = 16,
-        epochs: int = 5, rate: float = 0.5, keep_share: float = 0.999, seed: int = 7) -> SubwordModel:
+        epochs: int = 5, rate: float = 0.5, keep_share: float = 0.999, seed: int = 7,
+        rejection: bool = False) -> SubwordModel:
     """Fit on ``labelled`` (label, key) and ``texts`` (key, text). About
     ``rows_per_class`` rows of each class are used, those with the smallest seeded
     hash of their key; class priors come from counts over all labelled rows. The
     sample's keys are broadcast (``rows_per_class`` x classes), so texts are filtered
-    where they lie. Every tenth sampled row calibrates the temperature and the
-    rejection threshold instead."""
+    where they lie. Every tenth sampled row calibrates the temperature and, with
+    ``rejection``, the rejection threshold instead."""
     labelled = labelled.where(F.col("label").isNotNull()).select(
         F.col("label").cast("string").alias("label"), F.col("key"))
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -228,6 +274,7 @@ def fit(labelled: DataFrame, texts: DataFrame, fold_case: bool, rows_per_class:
             emb[ids] = e - step * 0.2 * np.outer(w / np.sqrt(emb_sq[ids]), dx)
     drawn = np.bincount([d[0] for d in docs], minlength=k)
     bias = bias.astype(np.float64) + np.log([sizes[lab] for lab in labels]) - np.log(np.maximum(drawn, 1))
+    density, spread, reject = calibrate_rejection(train, held, k, keep_share) if rejection else (None, 0.0, -np.inf)
     z = np.array([(c / t[ids // BUCKETS]) @ (emb[ids] @ out) + bias for _, ids, c, t in held] or [bias])
     y = np.array([d[0] for d in held] or [0])
 
@@ -237,9 +284,5 @@ def fit(labelled: DataFrame, texts: DataFrame, fold_case: bool, rows_per_class:
         return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]))
 
     temperature = min(np.geomspace(0.5, 8, 33), key=nll)
-    s = z / temperature
-    p = np.exp(s - s.max(1, keepdims=True))
-    top = (p / p.sum(1, keepdims=True)).max(1)
     table = (emb @ out).reshape(GROUPS, BUCKETS, k)
-    return SubwordModel(labels, table, bias, float(temperature), fold_case,
-                        min(0.4, float(np.quantile(top, 1 - keep_share))))
+    return SubwordModel(labels, table, bias, float(temperature), fold_case, reject, density, spread)

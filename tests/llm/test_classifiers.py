@@ -97,3 +97,16 @@ def test_token_beside_a_cut_of_a_long_text(spark):
         got, near = spans([(1, text, "")], spark), spans([(1, "w " * 40 + line + "w " * 9, "")], spark)
         assert [k[1:] for k in got] == [(cut - before + 8, cut - before + 18, "ab12cd34ef")]
         assert list(got.values()) == list(near.values())
+
+
+def test_unlearned_language_is_rejected(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").where("length(text) >= 200")
+    model = op7_language.fit_language_model(op7_language._training(docs.where("lang in ('en', 'fr')")))
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), 400)) for _ in range(50)]
+    odd = spark.createDataFrame([(-1 - i, t, "noise") for i, t in enumerate(noise)], "doc_id long, text string, lang string")
+    got = op7_language.identify(docs.select("doc_id", "text", "lang").union(odd), model).toPandas()
+    share = got.groupby("lang").rejected.mean()
+    print(share.to_dict(), model.reject_below)
+    assert share["en"] < 0.02 and share["fr"] < 0.02
+    assert share["de"] > 0.9 and share["es"] > 0.9 and share["noise"] == 1
