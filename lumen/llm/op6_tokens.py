@@ -13,8 +13,8 @@ bounded number of entries, emptied when full.
 No piece has a space after another character, so a run of spaces followed by other
 characters is a segment of its own, entered in the start state; segments that repeat are
 counted once. Segments longer than ``PIECE`` characters are cut in chunks; all chunks run
-at once from a guessed state, and their state maps are composed by a scan that reruns a
-chunk until its entry state is its predecessor's exit state.
+at once from a guessed state, and a chunk is rerun until its entry state is its
+predecessor's exit state (no state maps are built or composed).
 """
 
 from __future__ import annotations
