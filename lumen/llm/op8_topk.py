@@ -26,7 +26,7 @@ from lumen.llm.common import read_table
 
 SCALE = 1024
 PASS_BYTES = 8 << 20
-#: Candidates of one block; dimensions of one step; queries that give the first bounds.
+#: Candidates of one block; dimensions of one step; candidates that give the first bounds.
 BLOCK, STEP, SEEDS = 2048, 8, 1024
 EXACT = float(2 ** 53)
 
@@ -47,7 +47,7 @@ def quantized(column: pa.Array, dims: int) -> np.ndarray:
 class Search:
     """The running k best of a set of queries over blocks of candidates."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, seed_ids: np.ndarray, seeds: np.ndarray) -> None:
         self.ids, self.q, self.k = ids, queries, k
         n, dims = queries.shape
         self.steps = [slice(i, min(i + STEP, dims)) for i in range(0, dims, STEP)] or [slice(0, 0)]
@@ -56,13 +56,12 @@ class Search:
         ordered = np.take_along_axis(mass, self.order, 1)
         self.rest = np.sqrt(np.maximum(ordered.sum(1)[:, None] - np.cumsum(ordered, 1), 0))
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * n
-        # the queries are rows too: their scores bound the k-th best from below
+        # the seeds are candidates: their scores bound the k-th best from below
         self.bound = np.full(n, -np.inf)
-        seeds = queries[:SEEDS]
         if len(seeds) > k and dims:
             for i in range(0, n, SEEDS):
                 s = queries[i:i + SEEDS] @ seeds.T
-                s[ids[i:i + SEEDS, None] == ids[None, :len(seeds)]] = -np.inf
+                s[ids[i:i + SEEDS, None] == seed_ids[None, :]] = -np.inf
                 self.bound[i:i + SEEDS] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
@@ -125,6 +124,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     dims = max(size["dims"], rows.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0])
     passes = max(1, -(-size["n"] * max(dims, 1) * 8 // PASS_BYTES))
     part = F.pmod(F.xxhash64("vec_id"), F.lit(passes))
+    first = rows.select("vec_id", "embedding").limit(SEEDS).toArrow()
+    seed_ids = np.asarray(first.column("vec_id"), np.int64)
+    seeds = quantized(first.column("embedding"), dims) if len(seed_ids) else np.zeros((0, dims))
     schema = "query_id long, query_no long, vec_id long, score long"
 
     def scan(number: int) -> DataFrame:
@@ -133,7 +135,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
         matrix = quantized(table.column("embedding"), dims) if len(ids) else np.zeros((0, dims))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = Search(ids, matrix, k)
+            search = Search(ids, matrix, k, seed_ids, seeds)
             for batch in batches:
                 own = np.asarray(batch.column("vec_id"), np.int64)
                 x = quantized(batch.column("embedding"), dims)

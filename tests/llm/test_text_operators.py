@@ -281,3 +281,17 @@ def test_top_k_large_components_and_passes(spark, tables, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = op8_topk.op8_topk(spark, tables(embeddings=df)).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(brute_top(rows))
+
+
+def test_top_k_queries_that_are_not_candidates(spark):
+    rng = np.random.default_rng(4)
+    near = [(i, [float(x) for x in 10 + rng.normal(size=8)]) for i in range(40)]
+    far = [(1000 + i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    schema = "vec_id long, embedding array<float>"
+    got = op8_topk.top_k(spark.createDataFrame(near, schema), spark.createDataFrame(far, schema)).collect()
+    cut = lambda v: [math.floor(1024 * float(np.float32(x))) for x in v]
+    want = []
+    for q, v in near:
+        best = sorted((-sum(a * b for a, b in zip(cut(v), cut(w))), i) for i, w in far)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
