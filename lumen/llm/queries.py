@@ -5,6 +5,7 @@ from __future__ import annotations
 from lumen.llm import op3_mixing, op8_topk
 from lumen.llm.op1_sharding import op1_sharding
 from lumen.llm.op10_secrets import op10_secrets
+from lumen.llm.op13_spelling import op13_spelling
 from lumen.llm.op2_quality import op2_quality
 from lumen.llm.op4_lm import op4_lm_score
 from lumen.llm.op5_decontamination import op5_decontamination
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_topk": op8_topk.op8_topk,
     "op9_neardup": op9_neardup,
     "op10_secrets": op10_secrets,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {"op3_mixing": op3_mixing.ORACLE_SQL, "op8_topk": op8_topk.ORACLE_SQL}
