@@ -10,12 +10,10 @@ from lumen.sources import fallback, files, jdbc, sinks
 from lumen.streaming import kpis as sk
 from lumen.operators.summarize import kpis
 
-from conftest import SF_SMOKE
-
 
 def _obs(spark):
     from lumen.sources.fixtures import obs
-    return obs(spark, SF_SMOKE).select(*[f.name for f in OBS_SCHEMA.fields])
+    return obs(spark, "/root/testdata/sf0.001").select(*[f.name for f in OBS_SCHEMA.fields])
 
 
 def test_csv_roundtrip_and_partitioned_sink(spark, scratch):
