@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumen.llm import op3_mixing, op8_topk
+from lumen.llm import op3_mixing, op8_topk, op12_embeddings
 from lumen.llm.op1_sharding import op1_sharding
 from lumen.llm.op10_secrets import op10_secrets
+from lumen.llm.op11_conversations import op11_conversations
 from lumen.llm.op13_spelling import op13_spelling
 from lumen.llm.op2_quality import op2_quality
 from lumen.llm.op4_lm import op4_lm_score
@@ -24,7 +25,11 @@ QUERIES = {
     "op8_topk": op8_topk.op8_topk,
     "op9_neardup": op9_neardup,
     "op10_secrets": op10_secrets,
+    "op11_conversations": op11_conversations,
+    "op12_embeddings": op12_embeddings.op12_embeddings,
     "op13_spelling": op13_spelling,
 }
 
-ORACLE: dict[str, str] = {"op3_mixing": op3_mixing.ORACLE_SQL, "op8_topk": op8_topk.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op3_mixing": op3_mixing.ORACLE_SQL, "op8_topk": op8_topk.ORACLE_SQL,
+                          "op11_conversations": op11_conversations,
+    "op12_embeddings": op12_embeddings.ORACLE_SQL}
