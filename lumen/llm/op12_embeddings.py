@@ -345,8 +345,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
         members = member.join(base.select("node", "vec", "copies"), "node")
         found = found.union(materialize(_member_links(pairs, members, groups, space)))
     roots = components(found.where("kind = 'e'").select("a", "b")).select(F.col("node").alias("g"), "root")
-    linked = groups.select("g", "least", "w").join(roots, "g", "left").withColumn("root", F.coalesce("root", "g"))
-    lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first, so that the join reads plain shuffles and adaptive execution splits a hot root
+    linked = materialize(groups.select("g", "least", "w").join(roots, "g", "left").withColumn("root", F.coalesce("root", "g")))
+    lowest = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")))
     count = found.where("kind = 'n'").groupBy(F.col("a").alias("g")).agg(F.sum("w").alias("more"))
     whole = linked.join(lowest, "root").join(count, "g", "left").select("g", "w", "more", "component_id")
     single = found.where("kind = 'm'").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("own"))
