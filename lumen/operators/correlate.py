@@ -2,38 +2,49 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.functions.numeric import nan_to_null, pair_count, safe_corr
 from lumen.functions.special import pearson_pvalue
 from lumen.operators.filters import existing
 from lumen.schema import CORR_PARTNERS, EXTENDED, PHYSICAL, UVB
 
-
-# Up to this many pairs are one global aggregation; measured at sf 0.1 it is
-# fastest there (10 pairs: 1.1 s against 1.9 s as pair rows), while for 21
-# pairs the wide buffer falls out of generated code (13 s against 3.7 s).
-WIDE_PAIRS = 10
+# Rows looked at for a value of each column to subtract (any value serves; one of the data's
+# own keeps the sums of squares from cancelling).
+LOOK = 1000
 
 
 def pair_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(pair index ``_p``, r, n) for each column pair, in one pass.
+    """(pair index ``_p``, r, n) for each column pair over its complete rows, in one pass.
 
-    Few pairs: one global aggregation with every pair side by side. More
-    pairs: every input row becomes one (x, y) row per pair and one ``groupBy``
-    over the pair index aggregates, keeping the aggregation buffer small.
+    Rows are grouped by which of the columns they lack (at most 2^columns groups), with the
+    count and the Gram sums of the others; a pair adds up the groups that lack neither side. The
+    plan is the same for any number of pairs and no row is expanded. NaN counts as missing.
     """
-    if len(pairs) <= WIDE_PAIRS:
-        row = df.agg(*[x for i, (a, b) in enumerate(pairs) for x in (
-            safe_corr(a, b).alias(f"r{i}"), pair_count(a, b).alias(f"n{i}"))])
-        cells = [F.struct(F.lit(i).alias("_p"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-                 for i in range(len(pairs))]
-        return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    cells = [F.struct(F.lit(i).alias("_p"), nan_to_null(a).alias("x"), nan_to_null(b).alias("y"))
-             for i, (a, b) in enumerate(pairs)]
-    rows = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
-    return rows.groupBy("_p").agg(safe_corr("x", "y").alias("r"), pair_count("x", "y").alias("n"))
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    k, at = len(cols), {c: i for i, c in enumerate(cols)}
+    rows = df.selectExpr(*[f"CASE WHEN NOT isnan(double(`{c}`)) THEN double(`{c}`) END AS v{i}" for i, c in enumerate(cols)])
+    seen = rows.limit(LOOK).selectExpr(*[f"first(v{i}, true) AS v{i}" for i in range(k)]).first()
+    rows = rows.selectExpr("concat(" + ", ".join(f"int(v{i} IS NULL)" for i in range(k)) + ") AS lack",
+                           *[f"coalesce(v{i} - {'0D' if s is None else repr(float(s)) + 'D'}, 0D) AS v{i}" for i, s in enumerate(seen)])
+    inner = [(i, j) for i in range(k) for j in range(i, k)]
+    listed = lambda parts: "array(" + ", ".join(parts) + ")"
+    groups = rows.groupBy("lack").agg(
+        F.count(F.lit(1)).alias("n"), F.expr(listed(f"sum(v{i})" for i in range(k)) + " AS s"),
+        F.expr(listed(f"min(v{i})" for i in range(k)) + " AS lo"), F.expr(listed(f"max(v{i})" for i in range(k)) + " AS hi"),
+        F.expr(listed(f"sum(v{i} * v{j})" for i, j in inner) + " AS q"))
+    place = {p: n for n, p in enumerate(inner)}
+    wanted = [[p, i, j, place[i, i], place[j, j], place[min(i, j), max(i, j)]] for p, (i, j) in enumerate((at[a], at[b]) for a, b in pairs)]
+    cells = groups.withColumn("w", F.explode(F.lit(wanted))).where("substr(lack, w[1] + 1, 1) = '0' AND substr(lack, w[2] + 1, 1) = '0'")
+    total = cells.groupBy(F.expr("w[0]").alias("_p")).agg(
+        F.sum("n").alias("n"), *[F.expr(f"{f}({a}[w[{i}]]) AS {name}") for name, f, a, i in (
+            ("sx", "sum", "s", 1), ("sy", "sum", "s", 2), ("xx", "sum", "q", 3), ("yy", "sum", "q", 4), ("xy", "sum", "q", 5),
+            ("lx", "min", "lo", 1), ("ly", "min", "lo", 2), ("hx", "max", "hi", 1), ("hy", "max", "hi", 2))])
+    r = total.selectExpr("_p", "n", "lx < hx AND ly < hy AS varies", "xx - sx * sx / n AS dx", "yy - sy * sy / n AS dy", "xy - sx * sy / n AS dxy")
+    r = r.selectExpr("_p", "n", "CASE WHEN varies AND dx > 0 AND dy > 0 THEN greatest(-1D, least(1D, dxy / (sqrt(dx) * sqrt(dy)))) END AS r")
+    none = df.sparkSession.createDataFrame(pa.table({"_p": pa.array(range(len(pairs)), pa.int32())}))
+    return none.join(r, "_p", "left").select("_p", "r", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def _names(idx: str, names: list[str]):

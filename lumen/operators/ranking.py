@@ -1,45 +1,40 @@
-"""Distributed order statistics, exact quantiles and running totals.
-
-Exact ranks are needed by the median (A8, M1, M4), box statistics (A9-A11),
-Levene's test (T4), the stratified split and folds (M2, M3) and the ROC
-figures (E3, E4). None of them may put a whole group into one task: a month,
-a class or the whole table can hold a third of all rows.
-
-Order statistics (``ValueCells``, ``quantiles``):
-
-1. cut the value axis at global approximate quantiles (``approxQuantile``:
-   one pass, a bounded sketch; only the cut list reaches the driver) and label
-   rows with ``Bucketizer`` (a binary search in the JVM). Every (group, cell)
-   then holds about n / cells rows, whatever the group sizes;
-2. count rows per (group, cell) with partial aggregation: a table of at most
-   groups x cells rows, with each cell's rank offset in its group. A cell
-   whose estimated distinct count is too large for one task makes the cuts
-   finer first;
-3. find the cells holding the wanted ranks (a window over that small table
-   and the targets) and order only those cells' distinct values (ties
-   collapse into counts before the shuffle).
-
-Running totals (``running_totals``): the same cells, totals per cell, their
-prefix sums broadcast (bounded by groups x cells), and a window partitioned
-by cell for the sums (and successor values) inside it.
-
-Every pass is a deterministic function of the data and the fixed cut
-points, so passes agree when a lost executor forces recomputation; no
-checkpoint is needed. Spark's own ``percentile`` keeps a value->count map per
-group in one task and an un-partitioned window moves all rows to one task;
-neither is used.
+"""Distributed order statistics, exact quantiles, running totals and numbering.
+
+Exact ranks are needed by the median (A8, M1, M4), box statistics (A9-A11), Levene's test (T4),
+the stratified split and folds (M2, M3) and the ROC figures (E3, E4). None of them may put a
+whole group into one task: a month, a class or the whole table can hold a third of all rows.
+
+Order statistics (``RankTable``, ``quantiles``) read the rows twice, whatever the groups:
+
+1. a mergeable quantile sketch per group (KLL, partial aggregation) gives for every wanted rank
+   an interval of values that holds it;
+2. values inside an interval are counted one by one (ties collapse before the shuffle), all
+   others only as the parts between the intervals: one aggregation gives a table of a few rows
+   per group and the values of narrow intervals, with counts, sums and borders.
+
+Ranks, means, whiskers and outlier counts are read from that table. An interval that missed
+its rank (the sketch's bound holds with 99 %) is found out and widened. Values spread evenly
+by construction (a seeded hash) need no sketch: the interval follows from the rank.
+
+Running totals (``running_totals``): cells cut at approximate quantiles, totals per cell, their
+prefix sums, and a window partitioned by cell for the sums (and successor values) inside it.
+Spark's own ``percentile`` keeps a value->count map per group in one task and an un-partitioned
+window moves all rows to one task; neither is used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.numeric import is_valid
+from lumen.sources.files import shared_path
 
 _ALL = "_all"
 _BUCKET = "_bkt"
@@ -148,108 +143,162 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     return result, group_totals
 
 
-def _cell_count(df: DataFrame, cells: int | None) -> int:
-    if cells:
-        return int(cells)
-    return max(64, 4 * _partitions(df, None))
-
-
-class ValueCells:
-    """Valid values of ``value_col`` cut into cells (group, bucket) at global
-    approximate quantiles; each cell holds at most about n / cells rows
-    whatever the group sizes, and ties count once when a cell is ordered.
-    A cell whose estimated distinct count exceeds ``MAX_CELL_VALUES`` makes
-    the cut points finer before any ordering happens. ``cells_table`` has one
-    row per non-empty cell with its row count and rank offset in the group."""
-
-    def __init__(self, df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-                 cells: int | None = None, uniform: tuple[float, float] | None = None):
-        """``uniform=(lo, hi)`` declares the values spread evenly over [lo, hi)
-        (a seeded hash, say): equal-width cells are then balanced by
-        construction and the cut-point pass is skipped."""
-        self.value_col = value_col
-        self.uniform = uniform
-        self.group_cols = list(group_cols) or [_ALL]
-        self.grouped = bool(group_cols)
-        valid = df.where(is_valid(value_col)).select(*group_cols, value_col)
-        if not group_cols:
-            valid = valid.withColumn(_ALL, F.lit(0))
-        parts = _cell_count(df, cells)
-        for _ in range(4):  # each round multiplies the cells; two suffice in practice
-            self._build(valid, parts)
-            widest = self.cells_table.agg(F.max("_approx_distinct")).first()[0] or 0
-            if widest <= MAX_CELL_VALUES or not self.cuts:
-                break
-            # a cell too wide for one task: cut again, proportionally finer
-            self.cells_table.unpersist()
-            parts = parts * (int(widest // MAX_CELL_VALUES) + 2)
-
-    def _build(self, valid: DataFrame, parts: int) -> None:
-        g, v = self.group_cols, self.value_col
-        if self.uniform is not None:
-            lo, hi = self.uniform
-            self.cuts = [lo + (hi - lo) * i / parts for i in range(1, parts)]
+#: Size of a group's sketch and the rank error that it keeps with 99 %.
+SKETCH, RANK_ERROR = 4096, 0.0015
+
+
+def _local(df: DataFrame) -> pa.Table | None:
+    """The rows of ``df`` if they are at most ``MAX_SMALL_ROWS``."""
+    some = df.limit(MAX_SMALL_ROWS + 1).toArrow()
+    return some if some.num_rows <= MAX_SMALL_ROWS else None
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """A table of results, computed now: a local relation while it is small (its size is then
+    known to the planner), else a checkpoint. Nothing stays cached."""
+    some = _local(df)
+    return df.checkpoint() if some is None else df.sparkSession.createDataFrame(some, df.schema)
+
+
+class RankTable:
+    """Counts by value inside the given intervals, and by part between them.
+
+    ``bounds`` has one row per group: the group columns and, for each of ``names``, an interval
+    ``<name>_lo``, ``<name>_hi`` (null: none) of the values' type. ``table`` has one row per
+    part between intervals and one per distinct value inside: ``cnt``, ``a`` and ``z`` (its
+    smallest and largest value) and ``total``; for values that are no ``numbers`` a and z are
+    the value, null between intervals. A small table is held here, a larger one stays in Spark.
+    """
+
+    def __init__(self, valid: DataFrame, value: str, group_cols: Sequence[str], bounds: DataFrame,
+                 names: Sequence[str], numbers: bool = True) -> None:
+        g = self.g = list(group_cols)
+        self.numbers, self.held = numbers, []
+        passed = " + ".join(f"coalesce(int({value} >= {k}_lo), 0)" for k in names)
+        left = " + ".join(f"coalesce(int({value} > {k}_hi), 0)" for k in names)
+        rows = valid.join(bounds.select(*g, *[f"{k}_{end}" for k in names for end in ("lo", "hi")]), g)
+        rows = rows.selectExpr(*[f"`{c}`" for c in g], f"{value} AS _v", f"{passed} AS _above", f"{left} AS _beyond")
+        cells = rows.selectExpr(*[f"`{c}`" for c in g], "_v", "_above + _beyond AS _part", "CASE WHEN _above > _beyond THEN _v END AS _val")
+        grouped = cells.groupBy(*g, "_part", "_val")
+        if numbers:
+            table = grouped.agg(F.count(F.lit(1)).alias("cnt"), F.min("_v").alias("a"), F.max("_v").alias("z"), F.sum("_v").alias("total"))
         else:
-            self.cuts = _cut_points(valid, v, parts)
-        self.rows = bucketize(valid, v, self.cuts)
-        per_cell = self.rows.groupBy(*g, _BUCKET).agg(
-            F.count(F.lit(1)).alias("_cnt"), F.approx_count_distinct(v).alias("_approx_distinct"))
-        before = Window.partitionBy(*g).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*g)
-        # groups x cells rows at most: small, kept so later plans reuse it
-        self.cells_table = per_cell.select(
-            *g, _BUCKET, "_cnt", "_approx_distinct",
-            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-            F.sum("_cnt").over(whole).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def group_sizes(self) -> DataFrame:
-        """(group columns, _n) for every group with at least one valid value."""
-        # a group's first cell starts at rank 0: one row per group, no shuffle
-        return self.cells_table.where(F.col("_off") == 0).select(*self.group_cols, "_n")
-
-    def values_at(self, targets: DataFrame) -> DataFrame:
-        """Values at 0-based ranks: ``targets`` has the group columns, ``_rank``
-        and tag columns; the result has group columns, tags and the value."""
-        g, v = self.group_cols, self.value_col
-        if not self.grouped:
-            targets = targets.withColumn(_ALL, F.lit(0))
-        tags = [c for c in targets.columns if c not in g and c != "_rank"]
-        # Which cell holds each wanted rank: cells are contiguous, non-empty rank
-        # ranges, so it is the last cell starting at or before the rank. One
-        # window over cells and targets together (both small), no join.
-        starts = self.cells_table.select(*g, F.col("_off").alias("_pos"), F.lit(0).alias("_kind"),
-                                         _BUCKET, "_off")
-        wanted_ranks = targets.select(*g, F.col("_rank").alias("_pos"), F.lit(1).alias("_kind"), *tags)
-        both = starts.unionByName(wanted_ranks, allowMissingColumns=True)
-        upto = Window.partitionBy(*g).orderBy("_pos", "_kind").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        located = (both.select(*g, "_pos", "_kind", *tags,
-                               F.last(_BUCKET, ignorenulls=True).over(upto).alias(_BUCKET),
-                               F.last("_off", ignorenulls=True).over(upto).alias("_o"))
-                       .where(F.col("_kind") == 1)
-                       .select(*g, _BUCKET, *tags, (F.col("_pos") - F.col("_o")).alias("_r")))
-        # one row per requested rank (groups x ranks): fixed here, so the later joins do
-        # not recompute the window; a local relation while it is small, else a checkpoint
-        some = located.limit(MAX_SMALL_ROWS + 1).collect()
-        small = len(some) <= MAX_SMALL_ROWS
-        located = self.rows.sparkSession.createDataFrame(some, located.schema) if small else located.checkpoint()
-        side = F.broadcast if small else (lambda df: df)
-        wanted = located.select(*g, _BUCKET).distinct()
-        in_cells = self.rows.join(side(wanted), [*g, _BUCKET])
-        counts = in_cells.groupBy(*g, _BUCKET, v).agg(F.count(F.lit(1)).alias("_k"))
-        w = Window.partitionBy(*g, _BUCKET).orderBy(v).rowsBetween(Window.unboundedPreceding,
-                                                                   Window.currentRow)
-        ranged = counts.select(*g, _BUCKET, v, F.sum("_k").over(w).alias("_end"),
-                               (F.sum("_k").over(w) - F.col("_k")).alias("_start"))
-        out = (ranged.join(side(located), [*g, _BUCKET])
-                     .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
-                     .select(*g, *tags, v))
-        return out if self.grouped else out.drop(_ALL)
+            table = grouped.agg(F.count(F.lit(1)).alias("cnt")).select("*", F.col("_val").alias("a"), F.col("_val").alias("z"))
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        self.local = _local(table)
+        if self.local is None:
+            self.held.append(table)
+            self.table = table
+        else:
+            table.unpersist()
+            self.table = valid.sparkSession.createDataFrame(self.local, table.schema)
+
+    def cumulated(self) -> DataFrame:
+        """``table`` with ``start``, the rows of the group before it. The parts' offsets come from
+        a table of a few rows per group; inside a part values are summed in order, in one task
+        while they are few."""
+        g = self.g
+        parts = self.table.groupBy(*g, "_part").agg(F.sum("cnt").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+        before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        if self.numbers and (parts.agg(F.max("_rows")).first()[0] or 0) > MAX_CELL_VALUES:
+            cum, _ = running_totals(self.table.select(*g, "a", "z", "cnt"), ["a"], ["cnt"], g, held=self.held)
+            return cum.withColumn("start", F.col("cum_cnt") - F.col("cnt")).drop("cum_cnt")
+        offsets = parts.select(*g, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        within = Window.partitionBy(*g, "_part").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+        placed = self.table.withColumn("_loc", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
+        return placed.join(offsets, [*g, "_part"]).withColumn("start", F.col("_off") + F.col("_loc")).drop("_off", "_loc")
+
+    def at(self, ranks: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Per group, for each name, the value at 0-based rank ``<name>_rank`` of ``ranks`` (null:
+        none), and ``missed``: whether some rank fell between the intervals."""
+        ranks = ranks.select(*self.g, *[f"{k}_rank" for k in names])
+        wanted = _local(ranks) if self.local is not None else None
+        if wanted is not None:
+            return self._at_here(wanted, names)
+        inside = {k: f"start <= {k}_rank AND {k}_rank < start + cnt" for k in names}
+        hit = self.cumulated().join(ranks, self.g)
+        missed = " OR ".join(f"coalesce({c} AND (a IS NULL OR a <> z), false)" for c in inside.values())
+        return hit.groupBy(*self.g).agg(*[F.expr(f"max(CASE WHEN {c} THEN a END) AS {k}") for k, c in inside.items()],
+                                        F.expr(f"bool_or({missed}) AS missed"))
+
+    def _at_here(self, ranks: pa.Table, names: Sequence[str]) -> DataFrame:
+        """``at`` over the table held here."""
+        order = [(c, "ascending") for c in [*self.g, "_part", "_val"]]
+        table = self.local.sort_by(order)
+        group = np.array(list(zip(*[table.column(c).to_pylist() for c in self.g])), dtype=object)
+        rows: dict[tuple, list[int]] = {}
+        for i, key in enumerate(map(tuple, group)):
+            rows.setdefault(key, []).append(i)
+        count, a, z = table.column("cnt").to_numpy(), table.column("a").to_pylist(), table.column("z").to_pylist()
+        ends = {key: (at[0], np.cumsum(count[at[0]:at[-1] + 1])) for key, at in rows.items()}
+        out: dict[str, list] = {k: [] for k in [*self.g, *names, "missed"]}
+        for row in ranks.to_pylist():
+            key = tuple(row[c] for c in self.g)
+            first, end = ends.get(key, (0, np.zeros(0)))
+            missed = False
+            for k in names:
+                r = row[f"{k}_rank"]
+                i = first + int(np.searchsorted(end, r, side="right")) if r is not None and len(end) and r < end[-1] else None
+                out[k].append(None if i is None else a[i])
+                missed |= i is not None and (a[i] is None or a[i] != z[i])
+            for c in self.g:
+                out[c].append(row[c])
+            out["missed"].append(missed)
+        kinds = {**{c: ranks.schema.field(c).type for c in self.g}, **{k: table.schema.field("a").type for k in names}, "missed": pa.bool_()}
+        return self.table.sparkSession.createDataFrame(pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()}))
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
+def _sketched(valid: DataFrame, value: str, g: list[str], probs: Mapping[str, float], error: float) -> DataFrame:
+    """Per group: n, and for each prob its interval and the two ranks it is interpolated between."""
+    sketch = valid.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value), F.lit(SKETCH)).alias("s"))
+    e = error + 2 / SKETCH
+    at = lambda r: F.kll_sketch_get_quantile_double(F.col("s"), F.lit(max(0.0, min(1.0, r))))
+    # a small group's values are all counted one by one
+    end = lambda r, small: F.when(F.col("n") <= SKETCH, at(small)).otherwise(at(r))
+    cols = []
+    for k, p in probs.items():
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        cols += [end(p - e, 0.0).alias(f"{k}_lo"), end(p + e, 1.0).alias(f"{k}_hi"),
+                 pos.alias(f"{k}_pos"), F.floor(pos).cast("long").alias(f"{k}_floor_rank"), F.ceil(pos).cast("long").alias(f"{k}_ceil_rank")]
+    return fixed(sketch.select(*g, "n", *cols))
+
+
+def rank_table(df: DataFrame, value_col: str, probs: Mapping[str, float], group_cols: Sequence[str],
+               whis: float | None = None) -> tuple[DataFrame, RankTable]:
+    """(group columns, n, exact quantiles) and the table they were read from. With ``whis`` and
+    probs q1 and q3, the table also lists the values around both fences q1 - whis * IQR and
+    q3 + whis * IQR one by one, so nothing that depends on a fence needs the rows again."""
+    g = list(group_cols)
+    valid = df.where(is_valid(value_col)).select(*g, F.col(value_col).cast("double").alias(value_col))
+    error = RANK_ERROR
+    while True:
+        bounds = _sketched(valid, value_col, g, probs, error)
+        names = list(probs)
+        if whis is not None:
+            l1, h1, l3, h3 = (F.col(c) for c in ("q1_lo", "q1_hi", "q3_lo", "q3_hi"))
+            slack = (F.abs(l1) + F.abs(h3)) * 1e-9
+            bounds = bounds.withColumns({
+                "below_lo": l1 * (1 + whis) - h3 * whis - slack, "below_hi": h1 * (1 + whis) - l3 * whis + slack,
+                "above_lo": l3 * (1 + whis) - h1 * whis - slack, "above_hi": h3 * (1 + whis) - l1 * whis + slack})
+            names += ["below", "above"]
+        table = RankTable(valid, value_col, g, bounds, names)
+        ends = [f"{k}_{end}" for k in probs for end in ("floor", "ceil")]
+        hits = table.at(bounds.select(*g, *[f"{e}_rank" for e in ends]), ends)
+        found = fixed(hits.join(bounds.select(*g, "n", *[f"{k}_pos" for k in probs]), g).select(*g, "n", *[
+            (F.col(f"{k}_floor") + (F.col(f"{k}_pos") - F.floor(f"{k}_pos")) * (F.col(f"{k}_ceil") - F.col(f"{k}_floor"))).alias(k)
+            for k in probs], "missed"))
+        if found.where("missed").isEmpty():
+            return found.drop("missed"), table
+        table.release()
+        error *= 8
 
 
 def quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
-              group_cols: Sequence[str] = (), num_partitions: int | None = None,
-              accuracy: int | None = None) -> DataFrame:
+              group_cols: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (NumPy/pandas default).
 
     Output: group columns, ``n`` and one column per entry of ``probs``.
@@ -264,30 +313,26 @@ def quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
         arr = F.percentile_approx(value_col, [float(probs[k]) for k in names], accuracy)
         out = valid.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), arr.alias("_q"))
         return out.select(*g, "n", *[F.col("_q")[i].alias(k) for i, k in enumerate(names)])
-    vc = ValueCells(df, value_col, g, num_partitions)
-    gk = vc.group_cols
-    spec = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p"))
-                     for k, p in probs.items()])
-    pos = vc.group_sizes().select(*gk, "_n", F.explode(spec).alias("q")).select(
-        *gk, "_n", F.col("q.name").alias("name"), (F.col("q.p") * (F.col("_n") - 1)).alias("pos"))
-    pos = pos.select(*gk, "_n", "name", "pos", F.floor("pos").cast("long").alias("lo"),
-                     F.ceil("pos").cast("long").alias("hi"))
-    targets = pos.select(*gk, "name", F.explode(F.array(
-        F.struct(F.lit("lo").alias("end"), F.col("lo").alias("_rank")),
-        F.struct(F.lit("hi").alias("end"), F.col("hi").alias("_rank")))).alias("x")
-    ).select(*gk, "name", F.col("x.end").alias("end"), F.col("x._rank").alias("_rank"))
-    if not g:
-        targets = targets.drop(_ALL)
-    found = vc.values_at(targets)
-    if not g:
-        found = found.withColumn(_ALL, F.lit(0))
-    both = found.groupBy(*gk, "name").agg(
-        F.max(F.when(F.col("end") == "lo", F.col(value_col))).alias("v_lo"),
-        F.max(F.when(F.col("end") == "hi", F.col(value_col))).alias("v_hi"))
-    interp = both.join(pos.select(*gk, "_n", "name", "pos", "lo"), [*gk, "name"]).select(
-        *gk, F.col("_n").alias("n"), "name",
-        (F.col("v_lo") + (F.col("pos") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
-    wide = interp.groupBy(*gk, "n").pivot("name", names).agg(F.first("q"))
-    # one row per group: kept, so every consumer (fences, joins, checks) reads it once
-    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
-    return wide if g else wide.drop(_ALL)
+    base = df if g else df.withColumn(_ALL, F.lit(0))
+    found, table = rank_table(base, value_col, probs, g or [_ALL])
+    table.release()
+    return found if g else found.drop(_ALL)
+
+
+def sorted_numbers(df: DataFrame, group_cols: Sequence[str], value_col: str, name: str) -> DataFrame:
+    """Adds ``name``: each row's 0-based place in its group by ``value_col`` (rows unique on both).
+
+    A range sort deals the rows, places are counted inside the tasks, and a table of one row per
+    (group, task) gives each task's offset; no task holds a group. The sorted rows are written
+    to the shared folder first, since a range sort may be cut elsewhere when it runs again."""
+    spark, g = df.sparkSession, list(group_cols)
+    path = shared_path(spark, "sorted")
+    order = [*g, value_col]
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
+       .withColumn("_id", F.monotonically_increasing_id()).write.parquet(path))
+    rows = spark.read.parquet(path).withColumn("_task", F.shiftright("_id", 33))
+    runs = rows.groupBy(*g, "_task").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_k"))
+    before = Window.partitionBy(*g).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*g, "_task", "_first", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off"))
+    return rows.join(runs, [*g, "_task"]).withColumn(name, F.col("_id") - F.col("_first") + F.col("_off")).drop(
+        "_id", "_task", "_first", "_off")

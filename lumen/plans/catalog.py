@@ -22,6 +22,7 @@ from lumen.operators import correlate, distribution, filters, hypothesis, summar
 from lumen.operators.filters import FilterSpec
 from lumen.plans import report
 from lumen.schema import LW, PHYSICAL, PRECIP, PS, ROW_KEY, UVB
+from lumen.sources import files
 from lumen.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +224,13 @@ def q_format_kpis(spark, sf):
                     formats.fixed("precipitacion_max", 1).alias("precip"))
 
 
+@register("format_scientific", with_(OBS, CLEAN) + f"""
+SELECT MO, printf('%.3e', AVG({UVB}) / 1000) AS mean, printf('%.2e', SUM({UVB})) AS total FROM clean GROUP BY MO""")
+def q_format_scientific(spark, sf):
+    per_month = clean_obs(spark, sf).groupBy("MO").agg((F.avg(UVB) / 1000).alias("mean"), F.sum(UVB).alias("total"))
+    return per_month.select("MO", formats.scientific("mean", 3).alias("mean"), formats.scientific("total", 2).alias("total"))
+
+
 @register("month_table", with_(OBS, CLEAN) + f"""
 SELECT MO, {r6(f'AVG({UVB})')} AS mean, {r6(f'STDDEV_SAMP({UVB})')} AS std,
        {r6(f'MIN({UVB})')} AS min, {r6(f'MAX({UVB})')} AS max
@@ -801,12 +809,11 @@ def q_class_report(spark, sf):
 
 
 # ------------------------------------------------ M4-M13: model pipeline
-from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
 from pyspark.ml.feature import OneHotEncoder  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from lumen.operators import prep  # noqa: E402
-from lumen.operators.model import CHECK_GRID  # noqa: E402
 from lumen.plans import modeling  # noqa: E402
 
 _NUM, _CAT = [LW, PRECIP, PS], ["HR", "DY", "MO"]
@@ -878,7 +885,7 @@ def _search(spark: SparkSession, sf: str):
     runs = spark.__dict__.setdefault("_lumen_searches", {})
     if sf not in runs:
         signal = clean_obs(spark, sf).withColumn(UVB, F.col(UVB) / 3.0 * 0.3 + F.col(LW) / 50.0 * 0.7)
-        runs[sf] = modeling.run_search(spark, signal, grid=CHECK_GRID)
+        runs[sf] = modeling.run_search(spark, signal)
     return runs[sf]
 
 
@@ -892,6 +899,15 @@ def q_model_predict(spark, sf):
     return _search(spark, sf).predictions.select(*ROW_KEY, "HighUVB", "prediction", "score")
 
 
+@register("model_reloaded")
+def q_model_reloaded(spark, sf):
+    """Predictions of the fitted pipeline after it was saved and loaded again."""
+    path, found = files.shared_path(spark, "model"), _search(spark, sf)
+    found.model.write().save(path)
+    rows = found.predictions.select(*ROW_KEY, "HighUVB", *_NUM, *_CAT)
+    return PipelineModel.load(path).transform(rows).select(*ROW_KEY, "HighUVB", F.col("prediction").cast("int").alias("prediction"), "score")
+
+
 @register("model_test_rows", with_(OBS, CLEAN, _SIGNAL, _MODEL_ROWS, _SPLIT_ROWS)
           + f"SELECT {KEYS}, HighUVB FROM ranked WHERE pos >= n_train")
 def q_model_test_rows(spark, sf):
@@ -918,7 +934,7 @@ def q_model_record(spark, sf):
 
 
 # ----------------------------------------------- S1-S7: sources and sinks
-from lumen.sources import files, sinks  # noqa: E402
+from lumen.sources import sinks  # noqa: E402
 from lumen.streaming import kpis as stream_kpis  # noqa: E402
 
 _OBS_COLS = ["YEAR", "MO", "DY", "HR", UVB, LW, PRECIP, PS, *ROW_KEY]
@@ -954,6 +970,23 @@ def q_sink_count(spark, sf):
     return sinks.load_count(spark, path)
 
 
+@register("sink_replaced", with_(OBS, CLEAN) + "SELECT * FROM clean WHERE MO <> 7")
+def q_sink_replaced(spark, sf):
+    """A stored table replaced twice, the second time by rows read from itself."""
+    path = files.shared_path(spark, "datos_uvb")
+    sinks.replace_table(clean_obs(spark, sf).select(*_OBS_COLS), path)
+    sinks.replace_table(sinks.open_table(spark, path).where(F.col("MO") != 7), path)
+    return sinks.open_table(spark, path).select(*_OBS_COLS)
+
+
+@register("sink_check", with_(OBS, CLEAN) + """
+SELECT COUNT(*) AS total, COUNT(*) AS expected, true AS complete FROM clean""")
+def q_sink_check(spark, sf):
+    path = files.shared_path(spark, "datos_uvb")
+    sinks.replace_table(clean_obs(spark, sf).select(*_OBS_COLS), path)
+    return sinks.load_check(spark, path).select("total", "expected", "complete")
+
+
 @register("sink_month_pruned", with_(OBS, CLEAN) + "SELECT * FROM clean WHERE MO = 7")
 def q_sink_month(spark, sf):
     path = files.shared_path(spark, "datos_uvb")

@@ -50,3 +50,9 @@ def exists(spark: SparkSession, path: str) -> bool:
         return True
     except Exception:  # noqa: BLE001 - Spark raises AnalysisException PATH_NOT_FOUND
         return False
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -59,12 +59,9 @@ def test_shapiro_classic_example_and_normal_sample(spark):
     assert got["B"]["n"] == 200 and got["B"]["statistic"] > 0.98 and got["B"]["p"] > 0.05
 
 
-def test_shapiro_uses_all_rows_and_splits_ties(spark, monkeypatch):
+def test_shapiro_uses_all_rows_and_blocks_of_ties(spark):
     from statistics import NormalDist
 
-    from lumen.operators import hypothesis
-
-    monkeypatch.setattr(hypothesis, "RANK_CHUNK", 50)
     x = np.concatenate((np.random.default_rng(3).normal(0, 1, 6000).round(1), np.full(900, 0.5)))
     got = shapiro(spark.createDataFrame(pd.DataFrame({"A": x})), ["A"]).first()
     n, xs = len(x), np.sort(x)

@@ -41,7 +41,7 @@ def test_quantiles_with_ties_hot_value_and_groups(spark):
     grp = np.where(np.arange(1200) % 5 == 0, "b", "a")
     pdf = pd.DataFrame({"g": grp, "v": vals})
     df = spark.createDataFrame(pdf)
-    q = quantiles(df, "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}, ["g"], num_partitions=6)
+    q = quantiles(df, "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}, ["g"])
     for r in q.collect():
         sub = pdf[pdf.g == r["g"]].v
         assert r["n"] == len(sub)
@@ -60,7 +60,7 @@ def test_quantiles_global_unchanged_by_repartitioning(spark):
     vals = [float(x) for x in range(1, 102)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     a = quantiles(df, "v", {"m": 0.5, "p9": 0.9}).first()
-    b = quantiles(df.repartition(7), "v", {"m": 0.5, "p9": 0.9}, num_partitions=3).first()
+    b = quantiles(df.repartition(7), "v", {"m": 0.5, "p9": 0.9}).first()
     assert a["m"] == b["m"] == 51.0 and abs(a["p9"] - _np_q(vals, 0.9)) < 1e-12 and a["p9"] == b["p9"]
 
 

@@ -66,3 +66,33 @@ def test_jdbc_partition_options():
     assert jdbc.partition_options("id", 5, 5, 16) == {}
     assert jdbc.partition_options(None, 1, 9, 16) == {}
     assert jdbc.partition_options("id", 1, 9, 1) == {}
+
+
+def test_a_failing_write_leaves_the_old_table(spark, scratch):
+    path = f"{scratch}/t"
+    with pytest.raises(FileNotFoundError):
+        sinks.open_table(spark, path)
+    o = _obs(spark)
+    sinks.replace_table(o, path)
+    bad = o.withColumn("PS", F.when(F.col("MO") == 7, F.raise_error(F.lit("stop"))).otherwise(F.col("PS")))
+    with pytest.raises(Exception, match="stop"):
+        sinks.replace_table(bad, path)
+    assert sinks.open_table(spark, path).count() == o.count()
+    check = sinks.load_check(spark, path).first()
+    assert check["complete"] and check["total"] == check["expected"] == o.count()
+    sinks.replace_table(sinks.open_table(spark, path).where("MO = 3"), path)        # reads what it replaces
+    assert sinks.open_table(spark, path).count() == o.where("MO = 3").count()
+    assert sinks.open_table(spark, path, number=1).count() == o.count()
+    plan = sinks.open_table(spark, path).where("MO = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(MO" in plan
+    assert sinks.forget_versions(spark, path, keep=1) == 1 and sinks.forget_versions(spark, path, keep=1) == 0
+    assert [r["number"] for r in sinks.manifest(spark, path).collect()] == [2, 1]
+
+
+def test_a_lost_file_shows_in_the_check(spark, scratch):
+    path = f"{scratch}/t"
+    sinks.replace_table(_obs(spark).where("MO < 4"), path)
+    lost = sinks.open_table(spark, path).inputFiles()[0].removeprefix("file://")
+    os.remove(lost)
+    check = sinks.load_check(spark, path).first()
+    assert not check["complete"] and check["total"] < check["expected"]
