@@ -3,9 +3,10 @@ estimation in numpy.
 
 Word counts cover the whole training part and are shuffled once. The model predicts the
 class of the next token from the two before it: the ``CLASSES`` most frequent types, the
-end of text, or "rare". Its score of a class is a bilinear form of learned vectors; every
-task trains its part of the corpus from the same start, and the parameters are averaged
-by tokens. At scoring time the normaliser of every context pair is one batched matrix
+end of text, or "rare". Its score of a class is a bilinear form of learned vectors. One task
+first trains on about ``WARM`` tokens, drawn by a hash of the rows; from there every task
+trains its part of the corpus, with the step sizes reached, and the parameters are averaged
+by tokens, so the model hardly depends on how the corpus is dealt to tasks. At scoring time the normaliser of every context pair is one batched matrix
 product, exp(A) exp(B)^T, so each token's probability is exactly normalised for a
 constant number of lookups. A rare token's probability is its class's, times its smoothed
 share among the rare types, so all types and the unknown word together sum to one.
@@ -28,6 +29,8 @@ U = np.uint64
 CLASSES, DIMS, NOISE, BATCH = 1022, 16, 64, 4096
 #: Counts of so many most frequent types go to the tasks; the other tokens are joined.
 LOCAL_TYPES = 1 << 17
+#: Tokens of the first training, by one task, in so many passes.
+WARM, PASSES = 2_000_000, 2
 #: Distinct words a task holds before it passes its counts on.
 HELD_WORDS = 2_000_000
 SMOOTH = 0.1
@@ -194,6 +197,18 @@ class Model:
         self._step(3, self.b, rows, both[:, -1], rate)
         self._step(2, self.c, slice(None), gc / 64, rate)
 
+    def state(self) -> bytes:
+        """Parameters and their sums of squared gradients."""
+        return np.concatenate([x.ravel() for x in (self.r, self.q, self.c, self.b, *self.square)]).tobytes()
+
+    def set_state(self, state: bytes) -> "Model":
+        flat, at = np.frombuffer(state), 0
+        for group in ([self.r, self.q, self.c, self.b], self.square):
+            for x in group:
+                x[...] = flat[at:at + x.size].reshape(x.shape)
+                at += x.size
+        return self
+
     def rows(self) -> np.ndarray:
         """All parameters as rows of DIMS + 1 numbers."""
         pad = lambda x: np.column_stack((x, np.zeros(len(x))))
@@ -213,30 +228,69 @@ class Model:
         return a, b, (np.log(z) + top_a + top_b.T).astype(np.float32)
 
 
-def train_model(texts: DataFrame, types: Types, prior: np.ndarray) -> Model:
-    """Every task makes one pass over its texts; parameters are averaged by tokens."""
+def _train(model: Model, types: Types, column: pa.Array, hasher: tx.Hasher, most: float = math.inf) -> int:
+    """Trains on the texts of a batch, up to about ``most`` tokens; returns how many."""
+    tokens, before = 0, None
+    for _, h, wb, last in _words(column, hasher):
+        tok, c1, c2, _ = contexts(types.find(h)[0], wb, last, before)
+        before = None if last[-1] or not len(tok) else (int(tok[-1]), int(tok[-2]) if len(tok) > 1 else int(c1[-1]))
+        for i in range(0, len(tok), BATCH):
+            model.train(tok[i:i + BATCH], c1[i:i + BATCH], c2[i:i + BATCH])
+        tokens += len(tok)
+        if tokens >= most:
+            break
+    return tokens
+
+
+def warm_start(texts: DataFrame, types: Types, prior: np.ndarray, total: int) -> bytes | None:
+    """The state of a model trained by one task on rows of about ``WARM`` tokens, chosen and
+    ordered by a hash of the whole row, whatever the layout; null without any row."""
+    key = F.xxhash64(*texts.columns)
+    share = min(1.0, WARM / max(1, total))
+    chosen = texts.select("text", key.alias("k")).where((F.col("k").cast("double") + 2.0 ** 63) / 2.0 ** 64 <= share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, model, held, tokens = tx.Hasher(), Model(prior), [], 0
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                held.append(batch.column("text"))
+                tokens += _train(model, types, held[-1], hasher, 2 * WARM - tokens)
+                if tokens >= 2 * WARM:
+                    break
+            for _ in range(PASSES - 1):
+                left = tokens
+                for column in held:
+                    left -= _train(model, types, column, hasher, left)
+                    if left <= 0:
+                        break
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([model.state()], pa.binary())], names=["state"])
+
+    found = chosen.repartition(1).sortWithinPartitions("k").select("text").mapInArrow(run, "state binary").first()
+    return found["state"] if found else None
+
+
+def train_model(texts: DataFrame, types: Types, prior: np.ndarray, total: int) -> Model:
+    """From the warm start every task makes one pass over its texts; parameters are averaged
+    by tokens."""
     columns = [f"p{i}" for i in range(DIMS + 1)]
     schema = "row int, tokens double, " + ", ".join(f"{c} double" for c in columns)
+    model, start = Model(prior), warm_start(texts, types, prior, total)
+    if start is None:
+        return model
+    model.set_state(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, model, tokens = tx.Hasher(), Model(prior), 0
+        hasher, own, tokens = tx.Hasher(), Model(prior).set_state(start), 0
         with np.errstate(over="ignore"):
             for batch in batches:
-                before = None
-                for _, h, wb, last in _words(batch.column("text"), hasher):
-                    tok, c1, c2, _ = contexts(types.find(h)[0], wb, last, before)
-                    before = None if last[-1] or not len(tok) else (
-                        int(tok[-1]), int(tok[-2]) if len(tok) > 1 else int(c1[-1]))
-                    for i in range(0, len(tok), BATCH):
-                        model.train(tok[i:i + BATCH], c1[i:i + BATCH], c2[i:i + BATCH])
-                    tokens += len(tok)
+                tokens += _train(own, types, batch.column("text"), hasher)
         if tokens:
-            rows = model.rows()
+            rows = own.rows()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(tokens)))]
                 + [pa.array(rows[:, i].copy()) for i in range(DIMS + 1)], names=["row", "tokens"] + columns)
 
-    model = Model(prior)
     mean = (texts.select("text").mapInArrow(run, schema).groupBy("row")
             .agg(*[(F.sum(F.col(c) * F.col("tokens")) / F.sum("tokens")).alias(c) for c in columns])
             .orderBy("row").collect())
@@ -273,7 +327,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     log_rare = math.log10(prior[1])
     prior[2 + len(n[:CLASSES]):] = 1e-9
     prior = prior / prior.sum()
-    model = train_model(train, types, prior)
+    model = train_model(train, types, prior, total)
     base_z = math.log10(total + SMOOTH * (distinct + 1))
     log_end = math.log10(ends + SMOOTH) if ends else math.log10(SMOOTH)
 
@@ -331,4 +385,4 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rest = crc_of_id(F.col("doc_id")) % 10
     return score_texts(docs.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "text"),
-                       docs.where(rest != 0).select("text"))
+                       docs.where(rest != 0).select("doc_id", "text"))

@@ -109,6 +109,7 @@ class Hasher:
               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, hash, word offset of each document) of the chunk's words."""
         n = len(data)
+        self._grow(n + 1)
         inside = ~SPACE[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -118,16 +119,11 @@ class Hasher:
         last = inside.copy()
         last[:-1] &= ~inside[1:] | first[1:]
         start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        return start, end, self.spans(data, start, end, lower), np.searchsorted(start, offsets)
-
-    def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """The hash of the bytes of each span; equal bytes, equal hash."""
-        n = len(data)
-        self._grow(n + 1)
         table = self.table[LOWER] if lower else self.table
         total = np.zeros(n + 1, U)
         np.cumsum(table[data] * self.power[:n], out=total[1:])
-        return mix((total[end] - total[start]) * self.inverse[start] + (end - start).astype(U))
+        h = (total[end] - total[start]) * self.inverse[start] + (end - start).astype(U)
+        return start, end, mix(h), np.searchsorted(start, offsets)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

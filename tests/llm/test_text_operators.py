@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lumen.llm import op4_lm, op5_decontamination as op5, op6_tokens, op8_topk, op9_neardup
 from lumen.llm.common import read_table
@@ -295,3 +296,15 @@ def test_top_k_queries_that_are_not_candidates(spark):
         best = sorted((-sum(a * b for a, b in zip(cut(v), cut(w))), i) for i, w in far)[:10]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
+def test_language_model_hardly_depends_on_partitions(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    gains = []
+    for parts in (1, 4, 32):
+        dealt = docs.repartition(parts)
+        held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+        got = op4_lm.score_texts(dealt.select("doc_id", held.alias("held_out"), "text"), dealt.where(~held).select("doc_id", "text"))
+        row = got.where("held_out").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()
+        gains.append(row[0])
+    assert min(gains) > 0.02 and max(gains) <= 1.25 * min(gains)
