@@ -95,8 +95,9 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     base = df if group_cols else df.withColumn(_ALL, F.lit(0))
     base = base.persist(StorageLevel.MEMORY_AND_DISK)  # read by three passes; recomputable
     parts = _partitions(df, num_partitions)
-    for _ in range(4):  # rows are unique per (group, key): a cell's count is its width
-        cuts = _cut_points(base, key, parts)
+    cuts: list[float] | None = None
+    while True:  # rows are unique per (group, key): a cell's count is its width
+        coarser, cuts = cuts, _cut_points(base, key, parts)
         bucketed = bucketize(base, key, cuts)
         if descending:
             bucketed = bucketed.withColumn(_BUCKET, F.lit(len(cuts)) - F.col(_BUCKET))
@@ -108,7 +109,8 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
         ).persist(StorageLevel.MEMORY_AND_DISK)
         widest, cells = totals.agg(F.max("_rows"), F.count(F.lit(1))).first()
         widest = widest or 0
-        if widest <= MAX_CELL_VALUES or not cuts:
+        # finer cuts until every cell fits, or until no two values are left to cut between
+        if widest <= MAX_CELL_VALUES or not cuts or cuts == coarser:
             break
         totals.unpersist()
         parts = parts * (int(widest // MAX_CELL_VALUES) + 2)
