@@ -24,6 +24,7 @@ from lumen.plans import report
 from lumen.schema import LW, PHYSICAL, PRECIP, PS, ROW_KEY, UVB
 from lumen.sources import files
 from lumen.sources import fixtures as fx
+from lumen.sources.footers import bounds, footer_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,7 +190,8 @@ def q_scatter(spark, sf):
 # --------------------------------------------------------- A: aggregates
 @register("sql_count", with_(OBS) + "SELECT COUNT(*) AS total_registros FROM obs")
 def q_sql_count(spark, sf):
-    return report.sql_count(spark, fx.obs(spark, sf))
+    session = footer_session(spark)  # the count comes from the files' footers
+    return report.sql_count(session, fx.obs(session, sf))
 
 
 @register("sql_stats", with_(OBS) + f"""
@@ -979,6 +981,15 @@ def q_sink_replaced(spark, sf):
     return sinks.open_table(spark, path).select(*_OBS_COLS)
 
 
+@register("sink_bounds", with_(OBS, CLEAN) + f"""
+SELECT MO, COUNT(*) AS rows, MIN(DY) AS DY_min, MAX(DY) AS DY_max, {r6(f'MIN({UVB})')} AS {UVB}_min,
+       {r6(f'MAX({UVB})')} AS {UVB}_max FROM clean GROUP BY MO""")
+def q_sink_bounds(spark, sf):
+    path = files.shared_path(spark, "datos_uvb")
+    sinks.write_table(clean_obs(spark, sf).select(*_OBS_COLS), path, ("MO",))
+    return bounds(spark, path, ["DY", UVB], ["MO"])
+
+
 @register("sink_check", with_(OBS, CLEAN) + """
 SELECT COUNT(*) AS total, COUNT(*) AS expected, true AS complete FROM clean""")
 def q_sink_check(spark, sf):

@@ -60,3 +60,16 @@ def test_kde_equals_all_pairs_sum(spark):
     exp = dens * n * (x.max() - x.min()) / 30
     assert np.allclose(got["density"].to_numpy(), exp, rtol=1e-9, atol=1e-12)
     assert np.allclose(got["x"].to_numpy(), grid, rtol=1e-12)
+
+
+def test_box_stats_and_density_of_many_rows_read_them_twice(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 40_000), "v": np.concatenate((rng.normal(0, 1, 39_000), rng.standard_cauchy(1_000)))})
+    df = spark.createDataFrame(pdf)
+    for r in box_stats(df, "g", "v").collect():
+        sub = pdf[pdf.g == r["g"]].v
+        e = _box_np(sub)
+        assert all(abs(r[k] - e[k]) < 1e-12 for k in ("q1", "med", "q3", "whislo", "whishi"))
+        assert r["fliers_low"] + r["fliers_high"] == e["fl"] and abs(r["mean"] - sub.mean()) < 1e-9
+    a, b = (kde(df, ["v"], exact=e).orderBy("j").toPandas()["density"].to_numpy() for e in (False, True))
+    assert np.allclose(a, b, rtol=1e-8, atol=1e-12)

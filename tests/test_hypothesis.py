@@ -87,3 +87,17 @@ def test_pearson_and_matrix_properties(spark):
     assert t["C"]["r"] is None and t["C"]["p"] is None        # constant column
     m = {(r["var_x"], r["var_y"]): r["r"] for r in corr_matrix(df, ["U", "P"]).collect()}
     assert abs(m[("U", "U")] - 1) < 1e-12 and m[("U", "P")] == m[("P", "U")]
+
+
+def test_pairs_by_null_pattern_equal_numpy(spark):
+    rng = np.random.default_rng(17)
+    pdf = pd.DataFrame({c: rng.normal(1e6, 3, 500) for c in "abcd"})
+    pdf["b"] += pdf.a
+    for c in "abc":
+        pdf.loc[rng.random(500) < 0.3, c] = np.nan
+    pdf["k"] = 0.1
+    df = spark.createDataFrame(pdf).withColumn("z", F.lit(None).cast("double"))
+    got = {(r["var_x"], r["var_y"]): r["r"] for r in corr_matrix(df, ["a", "b", "c", "d", "k", "z"]).collect()}
+    want = pdf[list("abcd")].corr()
+    assert len(got) == 36 and all(abs(got[x, y] - want.loc[x, y]) < 1e-9 for x in "abcd" for y in "abcd")
+    assert all(got[x, y] is None for x in "abcdkz" for y in "kz")

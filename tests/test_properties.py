@@ -13,15 +13,14 @@ SETTINGS = settings(max_examples=6, deadline=None,
 
 @SETTINGS
 @given(seed=st.integers(0, 10_000), n=st.integers(1, 300), groups=st.integers(1, 4),
-       hot=st.floats(0.0, 0.6), cells=st.integers(1, 40))
-def test_quantiles_match_numpy(spark, seed, n, groups, hot, cells):
+       hot=st.floats(0.0, 0.6))
+def test_quantiles_match_numpy(spark, seed, n, groups, hot):
     rng = np.random.default_rng(seed)
     vals = np.round(rng.normal(0, 3, n), 2)            # rounding makes ties
     vals[rng.random(n) < hot] = 1.25                    # a hot value of any share
     g = rng.integers(0, groups, n)
     pdf = pd.DataFrame({"g": g, "v": vals})
-    got = quantiles(spark.createDataFrame(pdf), "v", {"a": 0.1, "m": 0.5, "b": 0.9}, ["g"],
-                    num_partitions=cells).toPandas().set_index("g")
+    got = quantiles(spark.createDataFrame(pdf), "v", {"a": 0.1, "m": 0.5, "b": 0.9}, ["g"]).toPandas().set_index("g")
     for key, sub in pdf.groupby("g"):
         for name, p in (("a", 0.1), ("m", 0.5), ("b", 0.9)):
             assert abs(got.loc[key, name] - np.percentile(sub.v, p * 100)) < 1e-9

@@ -102,3 +102,34 @@ def test_many_groups_use_shuffle_joins(spark, monkeypatch):
     cum, _ = ranking.running_totals(counts, ["v"], ["count"])
     order = cum.orderBy("v").toPandas()
     assert (order["cum_count"] == order["count"].cumsum()).all()
+
+
+def test_large_groups_narrow_intervals_and_misses(spark, monkeypatch):
+    """Groups beyond the sketch's size, an interval that misses its rank, and a table too large for the driver."""
+    import lumen.operators.ranking as ranking
+
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"g": np.repeat(["a", "b"], [30_000, 9_000]),
+                        "v": np.concatenate((rng.normal(size=20_000), np.full(10_000, 0.25), rng.gamma(2, 1, 9_000)))})
+    df, probs = spark.createDataFrame(pdf).repartition(4), {"q1": 0.25, "med": 0.5, "q3": 0.75}
+    want = {k: pdf.groupby("g").v.quantile(p) for k, p in probs.items()}
+
+    def check():
+        got = ranking.quantiles(df, "v", probs, ["g"]).toPandas().set_index("g")
+        for k in probs:
+            assert np.allclose(got[k].sort_index(), want[k], rtol=0, atol=1e-12)
+
+    _, table = ranking.rank_table(df, "v", probs, ["g"])
+    assert table.local is not None and table.local.num_rows < 2000      # most values are counted by part
+    check()
+    sketched, calls = ranking._sketched, []
+
+    def wrong_at_first(*args):
+        calls.append(args[-1])
+        return sketched(*args).withColumns({f"med_{end}": F.col(f"med_{end}") + 0.5 for end in ("lo", "hi")} if len(calls) == 1 else {})
+
+    monkeypatch.setattr(ranking, "_sketched", wrong_at_first)
+    check()
+    assert calls == [ranking.RANK_ERROR, 8 * ranking.RANK_ERROR]
+    monkeypatch.setattr(ranking, "MAX_SMALL_ROWS", 50)
+    check()

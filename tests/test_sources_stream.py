@@ -96,3 +96,25 @@ def test_a_lost_file_shows_in_the_check(spark, scratch):
     os.remove(lost)
     check = sinks.load_check(spark, path).first()
     assert not check["complete"] and check["total"] < check["expected"]
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_and_bounds_come_from_footers(spark, scratch):
+    from lumen.plans import catalog
+    from lumen.sources.footers import bounds
+
+    count = catalog.QUERIES["sql_count"](spark, "/root/testdata/sf0.001")
+    assert "PushedAggregation: [COUNT(*)]" in _plan(count) and count.first()[0] == _obs(spark).count()
+    sinks.write_table(_obs(spark), f"{scratch}/t", ("MO",))
+    got = bounds(spark, f"{scratch}/t", ["DY", "PS"], ["MO"])
+    assert "PushedAggregation: [COUNT(*), MIN(DY), MAX(DY), MIN(PS), MAX(PS)]" in _plan(got)
+    want = _obs(spark).groupBy("MO").agg(F.count("*"), F.min("DY"), F.max("DY"), F.min("PS"), F.max("PS"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    whole = bounds(spark, f"{scratch}/t", ["HR"]).first()
+    assert (whole["HR_min"], whole["HR_max"]) == (0, 23)
+    # the caller's session reads as before
+    assert "PushedAggregation" not in _plan(spark.read.parquet(f"{scratch}/t").agg(F.count("*")))
