@@ -298,13 +298,13 @@ def test_top_k_queries_that_are_not_candidates(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
-def test_language_model_hardly_depends_on_partitions(spark, small_dir):
-    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+def test_language_model_hardly_depends_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     gains = []
-    for parts in (1, 4, 32):
+    for parts in (1, 32):
         dealt = docs.repartition(parts)
         held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
         got = op4_lm.score_texts(dealt.select("doc_id", held.alias("held_out"), "text"), dealt.where(~held).select("doc_id", "text"))
         row = got.where("held_out").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()
         gains.append(row[0])
-    assert min(gains) > 0.02 and max(gains) <= 1.25 * min(gains)
+    assert min(gains) > 0.04 and max(gains) <= 1.2 * min(gains)
