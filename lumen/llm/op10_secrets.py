@@ -1,14 +1,17 @@
 """Secret scans: candidates found by their characters, judged by a random forest.
 
 Runs of token characters that are long, or directly assigned to a name, are candidates.
-A random forest (Spark ML), trained from labelled findings, removes the false positives.
-It sees the candidate's length, character classes and transitions (likelihood under the
-corpus's own character bigrams, counted over all texts), its coverage by the corpus's most
-frequent words, the path it comes from and the words beside it.
+A random forest (Spark ML), trained from labelled findings, removes the false positives:
+digests, identifiers, paths, placeholders, numbers, long words. It sees the candidate's
+length, character classes and transitions (likelihood under the corpus's own character
+bigrams, counted over all texts), its coverage by the corpus's most frequent words, the name
+it is assigned to, the path it comes from and the words beside it. Reviewed findings may be
+given as a table; the query learns from findings planted into texts (``secret_examples``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from lumen.llm import textops as tx
 from lumen.llm.common import crc_of_id, materialize, read_table
 from lumen.llm.op4_lm import most_frequent, word_counts
+from lumen.llm.secret_examples import planted
 
 U = np.uint64
 #: Shortest candidate, and shortest one that is assigned to a name.
@@ -28,13 +32,23 @@ LONG, ASSIGNED = 16, 8
 #: Words of the dictionary: the most frequent of the corpus.
 DICTIONARY = 20_000
 TREES, DEPTH = 40, 8
-# fixed values: names under which secrets are commonly assigned
-KEY_NAMES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "auth", "bearer", "key")
+#: Planted findings the query's forest learns from, and bytes of text around each.
+PLANTED, CONTEXT = 6_000, 200
+# fixed values: words of names that secrets, and that other values, are commonly assigned to
+SECRET_NAMES = frozenset("password passwd pwd pass token secret key apikey auth bearer credential credentials".split())
+PLAIN_NAMES = frozenset("commit sha sha1 sha256 md5 checksum digest hash etag rev revision integrity id uuid guid name "
+                        "author user path file class url version title branch host date".split())
+# fixed values: words of placeholders
+PLACEHOLDERS = ("redacted", "placeholder", "example", "changeme", "your", "dummy", "sample", "insert", "todo", "masked",
+                "hidden", "replace", "xxxx", "****")
 # fixed values: published formats of issued keys
 ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{32,}|xox[abp]-[0-9A-Za-z-]{10,})$"
+UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+NAME = re.compile(rb"([A-Za-z][A-Za-z0-9_-]*)[\"' ]*[:=]?[\"' ]*$")
+PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 FEATURES = ("length", "digits", "upper", "lower", "other", "changes", "longest_run", "entropy", "transitions",
-            "coverage", "hex", "quoted", "assigned", "key_name", "known_neighbours", "path_depth", "path_digits",
-            "path_test")
+            "coverage", "hex", "uuid", "pieces", "letters_a_piece", "placeholder", "quoted", "assigned", "secret_name",
+            "plain_name", "known_neighbours", "path_depth", "path_digits", "path_test")
 
 
 def _classes() -> np.ndarray:
@@ -145,18 +159,40 @@ class Scanner:
         a = LETTER[t]
         likely = float(self.bigrams[a[:-1], a[1:]].mean()) if n > 1 else 0.0
         before, after = bytes(d[max(lo, s - 32):s]), bytes(d[e:min(hi, e + 32)])
-        names = before.lower().decode("utf-8", "replace")
+        named = NAME.search(before)
+        name = set() if named is None else {w.lower() for w in PIECE.findall(named[1].decode())} | {named[1].decode().lower()}
+        text = bytes(t).decode("ascii")
+        pieces = PIECE.findall(text)
+        letters = [len(w) for w in pieces if w[0] > "9"]
         beside = before.split()[:-1][-2:] + after.split()[1:][:2]
         hashes = np.array([self.hasher.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[2][0] for w in beside], U)
         hexes = bool(np.isin(t, np.frombuffer(b"0123456789abcdefABCDEF", np.uint8)).all())
         low = path.lower()
         return [float(n), *share, len(change) / n, float(runs.max()) / n, float(-(p * np.log2(p)).sum()), likely,
-                self.coverage(t), float(hexes), float(before[-1:] in (b'"', b"'")),
-                float(self.assignment(d[max(lo, s - 4):s])), float(any(k in names for k in KEY_NAMES)),
+                self.coverage(t), float(hexes), float(UUID.fullmatch(text.encode()) is not None), len(pieces) / n,
+                sum(letters) / max(1, len(letters)), float(any(w in text.lower() for w in PLACEHOLDERS)),
+                float(before[-1:] in (b'"', b"'")), float(self.assignment(d[max(lo, s - 4):s])),
+                float(bool(name & SECRET_NAMES)), float(bool(name & PLAIN_NAMES)),
                 float(self.known(hashes).mean()) if len(hashes) else 0.0, float(path.count("/")),
                 sum(c.isdigit() for c in path) / max(1, len(path)), float("test" in low or "example" in low)]
 
 
+def _found(scanner: Scanner, column: pa.Array, paths: pa.Array) -> dict[str, list]:
+    """Row, start, end, token and features of the candidates of a text column."""
+    out: dict[str, list] = {"row": [], "start": [], "end": [], "token": [], "features": []}
+    data, offsets = tx.column_bytes(column)
+    at = int(offsets[0])
+    for _, d, _ in tx.chunks(data, offsets):       # contiguous, the words beside are read from the batch
+        for i, s, e in scanner.find(data, offsets, at, at + len(d)):
+            lo, hi = int(offsets[i]), int(offsets[i + 1])
+            values = (i, s - lo, e - lo, bytes(data[s:e]).decode("ascii"),
+                      scanner.features(data, lo, hi, s, e, paths[i].as_py() or ""))
+            for name, value in zip(out, values):
+                out[name].append(value)
+        at += len(d)
+    return out
+
+
 def candidates(docs: DataFrame, bigrams: np.ndarray, words: np.ndarray) -> DataFrame:
     """doc_id, start, end (byte offsets), token and features of every candidate in the
     texts of ``docs`` (doc_id, text, path). Null and empty texts have none, null paths are
@@ -168,27 +204,51 @@ def candidates(docs: DataFrame, bigrams: np.ndarray, words: np.ndarray) -> DataF
         scanner = Scanner(bigrams, words)
         with np.errstate(over="ignore"):
             for batch in batches:
-                data, offsets = tx.column_bytes(batch.column("text"))
-                row, lo_, hi_, token, feats = [], [], [], [], []
-                at = int(offsets[0])
-                for _, d, _ in tx.chunks(data, offsets):       # contiguous, the words beside are read from the batch
-                    for i, s, e in scanner.find(data, offsets, at, at + len(d)):
-                        path = batch.column("path")[i].as_py() or ""
-                        lo, hi = int(offsets[i]), int(offsets[i + 1])
-                        feats.append(scanner.features(data, lo, hi, s, e, path))
-                        row.append(i)
-                        lo_.append(s - lo)
-                        hi_.append(e - lo)
-                        token.append(bytes(data[s:e]).decode("ascii"))
-                    at += len(d)
+                f = _found(scanner, batch.column("text"), batch.column("path"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(lo_, pa.int64()),
-                     pa.array(hi_, pa.int64()), pa.array(token, pa.string()),
-                     pa.array(feats, pa.list_(pa.float64()))], names=["doc_id", "start", "end", "token", "features"])
+                    [batch.column("doc_id").take(pa.array(f["row"], pa.int64())), pa.array(f["start"], pa.int64()),
+                     pa.array(f["end"], pa.int64()), pa.array(f["token"], pa.string()),
+                     pa.array(f["features"], pa.list_(pa.float64()))], names=["doc_id", "start", "end", "token", "features"])
 
     return docs.select("doc_id", "text", "path").mapInArrow(run, schema)
 
 
+def planted_findings(docs: DataFrame, bigrams: np.ndarray, words: np.ndarray, count: int = PLANTED) -> DataFrame:
+    """(features, label, kind) of about ``count`` findings planted into pieces of ``CONTEXT``
+    characters of the texts of ``docs`` (doc_id, text, path). Texts are drawn by a hash of
+    their id and text, a small table's repeatedly; null and empty texts and an empty table
+    have none. Only what the scan finds of the planted token counts: its longest part."""
+    texts = docs.where(F.length("text") > 0)
+    n = texts.count()
+    draws = max(1, -(-count // n)) if n else 1
+    own = F.xxhash64("doc_id", "text")
+    drawn = texts.where(F.pmod(own, F.lit(1 << 30)) < int(min(1.0, count / max(1, n)) * (1 << 30))).select(
+        own.alias("seed"), "path",
+        F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id, text, 1), greatest(length(text) - {CONTEXT}, 1)) AS int), {CONTEXT})")
+        .alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(bigrams, words)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                made, paths = [], []
+                for seed, path, text in zip(*(batch.column(c).to_pylist() for c in ("seed", "path", "text"))):
+                    made += [planted(text, (seed + k * 0x9E3779B97F4A7C15) % (1 << 64), ASSIGNED) for k in range(draws)]
+                    paths += [path] * draws
+                f = _found(scanner, pa.array([m[0] for m in made], pa.string()), pa.array(paths, pa.string()))
+                best: dict[int, tuple[int, list[float]]] = {}
+                for row, lo, hi, x in zip(f["row"], f["start"], f["end"], f["features"]):
+                    shared = min(hi, made[row][2]) - max(lo, made[row][1])
+                    if shared >= ASSIGNED and shared > best.get(row, (0, []))[0]:
+                        best[row] = shared, x
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for _, x in best.values()], pa.list_(pa.float64())),
+                     pa.array([made[r][3] for r in best], pa.int32()), pa.array([made[r][4] for r in best], pa.string())],
+                    names=["features", "label", "kind"])
+
+    return drawn.mapInArrow(run, "features array<double>, label int, kind string")
+
+
 def train_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel | None:
     """Forest of ``labelled`` (features, label 0 or 1); None unless both labels occur."""
     rows = labelled.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
@@ -209,25 +269,30 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | None) -> Da
             .drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("__f", "features"))
 
 
-def labels_by_format() -> Column:
-    """Labels for findings where no reviewed ones exist: 1 for issued formats and for
-    values with letters and digits assigned to a key name, 0 for values not assigned that
-    are all letters or all digits, null (not learned from) otherwise."""
-    x = {name: F.element_at("features", i + 1) for i, name in enumerate(FEATURES)}
-    both = (x["digits"] > 0) & (x["digits"] < 1)
-    return (F.when(F.regexp_like("token", F.lit(ISSUED)), 1)
-            .when((x["assigned"] > 0) & (x["key_name"] > 0) & both, 1)
-            .when((x["assigned"] == 0) & ((x["digits"] == 0) | (x["digits"] == 1)), 0))
+def issued(token: Column) -> Column:
+    """1 for tokens in a published format of issued keys, null for others."""
+    return F.when(F.regexp_like(token, F.lit(ISSUED)), 1)
 
 
-def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates of ``documents`` with the forest's verdict. It learns from findings of
-    documents whose crc32(doc_id as text) mod 3 is not 1; the rest are ``held_out``."""
+def op10_secrets(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """All candidates of ``documents`` with the forest's verdict. It learns from ``labelled``
+    (doc_id, start, end, label: reviewed findings; those that are no candidates are passed
+    over) where given, else from findings planted into documents whose crc32(doc_id as text)
+    mod 3 is not 1; the rest are ``held_out``. ``label`` is the reviewed one, or 1 for
+    published formats; the forest does not see it. Null and empty texts have no candidates,
+    repeated rows repeat theirs; an empty table gives no rows; extra columns are ignored."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
-    found = materialize(candidates(docs, transitions(docs), dictionary(docs))
-                        .withColumn("held_out", F.coalesce(crc_of_id(F.col("doc_id")) % 3 == 1, F.lit(False)))
-                        .withColumn("label", labels_by_format()))
-    model = train_forest(found.where("label is not null and not held_out"))
+    bigrams, words = transitions(docs), dictionary(docs)
+    held = F.coalesce(crc_of_id(F.col("doc_id")) % 3 == 1, F.lit(False))
+    found = candidates(docs, bigrams, words).withColumn("held_out", held)
+    if labelled is None:
+        found = materialize(found.withColumn("label", issued(F.col("token"))))
+        learn = planted_findings(docs.where(~held), bigrams, words)
+    else:
+        reviewed = labelled.groupBy("doc_id", "start", "end").agg(F.max("label").alias("label"))
+        found = materialize(found.join(reviewed, ["doc_id", "start", "end"], "left"))
+        learn = found.where("label is not null and not held_out")
+    model = train_forest(materialize(learn.select("features", "label")))
     return judge(found, model).select(
         "doc_id", "start", "end", F.crc32(F.col("token").cast("binary")).alias("token_crc32"), "held_out", "label",
         "score", "is_secret")

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lumen.llm import op2_quality, op7_language, op10_secrets
 from lumen.llm.common import read_table
 
@@ -61,16 +63,72 @@ def test_scores_do_not_depend_on_the_chunk():
     assert textops.column_bytes(pa.array([None, "a", None]))[1].tolist() == [0, 0, 1, 1]
 
 
-def test_secrets(spark, awkward, nothing, tables):
-    got = op10_secrets.op10_secrets(spark, "/root/testdata/sf0.01").toPandas()
-    held = got[got.held_out & got.label.notna()]
-    assert len(held) and ((held.label == 1) == held.is_secret).mean() > 0.97
+HARMLESS = [
+    "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 merged", "checksum: d41d8cd98f00b204e9800998ecf8427e done",
+    "see 123e4567-e89b-12d3-a456-426614174000 there",
+    "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855 ok", "at org/apache/commons/lang/StringUtils now",
+    "keyboard: Qwertyuiop12 layout", "monkey = banana1234 there", "token: REDACTED_PLACEHOLDER_1 kept",
+    "author: smith2019river wrote", "the key: see Chapter12Section4Part9 below"]
+
+
+def harmless(rng, k):
+    """Kinds that occur beside code: digests, identifiers, paths, numbers, placeholders."""
+    word = lambda: str(rng.choice(["river", "stone", "market", "window", "signal", "orange", "garden", "winter"]))
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    return [f"digest: {hexes(40)}", f"etag: {hexes(32)}", f"uuid = {hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
+            f"file: {word()}/{word()}/{word()}/{word()}", f"class: {word().title()}{word().title()}{word().title()}Factory",
+            f"password: your_{word()}_here", f"api_key = EXAMPLE_{word().upper()}_VALUE", f"order {rng.integers(10**17, 10**18)}",
+            f"call {word()}_{word()}_{word()}_{k}", f"branch: {word()}-{word()}-{k}"][k % 10]
+
+
+def unseen_key(rng, k):
+    """Keys of formats that are neither planted nor published in the module."""
+    some = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    return ["key: AIza" + some(lower + upper + digits + "-_", 35), "see glpat-" + some(lower + upper + digits, 20),
+            "npm_" + some(lower + upper + digits, 36), "token = hf_" + some(lower + upper, 34),
+            "rk_live_" + some(lower + upper + digits, 24), "Bearer eyJ" + some(lower + upper + digits + "-_", 60),
+            "secret: " + some("0123456789abcdef", 32), "AWS_SECRET_ACCESS_KEY=" + some(lower + upper + digits + "+/", 40),
+            "password = " + some(lower + upper + digits, 14), "SK" + some(upper + digits, 32)][k % 10]
+
+
+def test_secrets_precision_and_recall(spark, tables):
+    """The corpus holds 40 hex digits assigned to ``token``, long words and long numbers."""
+    rng = np.random.default_rng(11)
+    added = HARMLESS + [harmless(rng, k) for k in range(100)] + [unseen_key(rng, k) for k in range(100)]
+    added += ["passwd=hunterhunter"]
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source")
+    more = spark.createDataFrame([(-1 - i, f"some words before {t} and some after", "src0") for i, t in enumerate(added)], docs.schema)
+    folder = tables(documents=docs.unionByName(more))
+    got = op10_secrets.op10_secrets(spark, folder).toPandas()
+    flagged = set(got[got.is_secret].doc_id)
+    ten, alike, keys = ([-1 - i in flagged for i in r] for r in (range(10), range(10, 110), range(110, 211)))
+    print(sum(ten), sum(alike), sum(keys), [t for t, f in zip(HARMLESS, ten) if f],
+          [added[10 + i] for i, f in enumerate(alike) if f], [added[110 + i] for i, f in enumerate(keys) if not f])
+    texts = dict(docs.where("text is not null").select("doc_id", F.encode("text", "utf-8")).collect())
+    assigned, loose = [], []
+    for r in got[got.doc_id >= 0].itertuples():
+        before = bytes(texts[r.doc_id][max(0, r.start - 9):r.start])
+        (assigned if b"token = " in before else loose).append(r.is_secret)
+    assert len(assigned) > 10 and np.mean(assigned) > 0.97 and len(loose) > 100 and np.mean(loose) < 0.02
+    assert sum(ten) <= 1 and sum(alike) <= 10 and sum(keys) >= 91 and -211 in flagged
+
+
+def test_secrets_reviewed_labels_and_awkward_rows(spark, awkward, nothing, tables):
     text = "see token = \"9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee0011\" here"
     rows = awkward.union(spark.createDataFrame([(77, text, "en", "app/x", 1)], awkward.schema))
     folder = tables(documents=rows.selectExpr("*", "1 as start", "2 as score", "3 as features"))
     found = [r for r in op10_secrets.op10_secrets(spark, folder).collect() if r["doc_id"] == 77]
     assert [text.encode()[r["start"]:r["end"]].decode() for r in found] == ["9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee0011"]
     assert op10_secrets.op10_secrets(spark, tables(documents=nothing)).collect() == []
+    # reviewers who call every token of the kind harmless are followed
+    many = spark.createDataFrame([(i, f"token = {i:016x}{i * 7919:016x} or key = {'word' * 5} end", "en", "a", 1)
+                                  for i in range(300)], awkward.schema)
+    folder = tables(documents=many)
+    every = op10_secrets.op10_secrets(spark, folder).select("doc_id", "start", "end")
+    reviewed = every.withColumn("label", (F.col("start") > 8).cast("int")).union(spark.createDataFrame([(-5, 0, 9, 1)], "a long, b long, c long, d int"))
+    got = op10_secrets.op10_secrets(spark, folder, reviewed).where("held_out").toPandas()
+    assert len(got) and (got.is_secret == (got.start > 8)).all()
 
 
 def spans(rows, spark):
