@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_turn(frames: Iterator[DataFrame]) -> DataFrame:
+    """The rows of all ``frames`` (at least one, of one schema), each written to the shared
+    checkpoint folder before the next is asked for, so what a frame holds on the driver is
+    held once."""
+    path = df = None
+    for df in frames:
+        path = path or f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_key(text: Column) -> Column:
     """128-bit identity of a text (null and empty are one key)."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -7,9 +7,10 @@ score plus the most that the remaining masses allow (Cauchy-Schwarz on the rest
 vectors) still reaches the query's k-th best so far. Survivors are compacted, so later
 blocks touch few candidates. All numbers are integers, exact in double precision.
 
-The queries go to the tasks in passes of at most ``PASS_BYTES``; each pass scans the
-candidates once, every task keeps the k best of its part for every query, and a window
-per query merges the parts.
+The queries go to the tasks in passes of at most ``PASS_BYTES``, one after another, so the
+driver holds one pass at a time; each pass scans the candidates once, every task keeps the k
+best of its part for every query, and a window per query merges the parts. Blocks whose
+products leave the exact range of doubles are multiplied as whole integers instead.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumen.llm.common import read_table
+from lumen.llm.common import read_table, written_in_turn
 
 SCALE = 1024
 PASS_BYTES = 8 << 20
 #: Candidates of one block; dimensions of one step; candidates that give the first bounds.
 BLOCK, STEP, SEEDS = 2048, 8, 1024
 EXACT = float(2 ** 53)
+LONG = (-2 ** 63, 2 ** 63 - 1)
 
 
 def quantized(column: pa.Array, dims: int) -> np.ndarray:
@@ -50,23 +52,29 @@ class Search:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, seed_ids: np.ndarray, seeds: np.ndarray) -> None:
         self.ids, self.q, self.k = ids, queries, k
         n, dims = queries.shape
+        self.largest = float(np.abs(queries).max()) if queries.size else 0.0
         self.steps = [slice(i, min(i + STEP, dims)) for i in range(0, dims, STEP)] or [slice(0, 0)]
-        mass = np.stack([(queries[:, s] ** 2).sum(1) for s in self.steps], 1)
+        # beyond the exact range every block is wide and masses are not read
+        masses = queries if self.largest < EXACT else np.zeros_like(queries)
+        mass = np.stack([(masses[:, s] ** 2).sum(1) for s in self.steps], 1)
         self.order = np.argsort(-mass, axis=1, kind="stable")
         ordered = np.take_along_axis(mass, self.order, 1)
         self.rest = np.sqrt(np.maximum(ordered.sum(1)[:, None] - np.cumsum(ordered, 1), 0))
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * n
         # the seeds are candidates: their scores bound the k-th best from below
         self.bound = np.full(n, -np.inf)
-        if len(seeds) > k and dims:
+        if len(seeds) > k and dims and not self._wide(seeds):
             for i in range(0, n, SEEDS):
                 s = queries[i:i + SEEDS] @ seeds.T
                 s[ids[i:i + SEEDS, None] == seed_ids[None, :]] = -np.inf
                 self.bound[i:i + SEEDS] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
 
+    def _wide(self, rows: np.ndarray) -> bool:
+        largest = float(np.abs(rows).max()) if rows.size else 0.0
+        return max(self.largest, largest) >= EXACT or self.largest * largest * max(1, rows.shape[1]) >= EXACT
+
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        largest = (np.abs(self.q).max() if self.q.size else 0) * (np.abs(rows).max() if rows.size else 0)
-        if largest * max(1, rows.shape[1]) >= EXACT:
+        if self._wide(rows):
             return self._add_wide(ids, rows)
         columns = np.ascontiguousarray(rows.T)
         mass = [(columns[s] ** 2).sum(0) for s in self.steps]
@@ -103,7 +111,26 @@ class Search:
         top = np.lexsort((ids, -score))[:self.k]
         self.best[i] = score[top], ids[top]
         if len(top) == self.k:
-            self.bound[i] = max(self.bound[i], float(score[top[-1]]) * (1 if abs(score[top[-1]]) < EXACT else 1 - 1e-12))
+            self.bound[i] = max(self.bound[i], _at_most(score[top[-1]]))
+
+
+def _at_most(score: float | int) -> float:
+    """A double that is not above ``score``: itself while exact."""
+    if abs(score) < EXACT:
+        return float(score)
+    near = float(min(max(int(score), -10 ** 308), 10 ** 308))
+    return -np.inf if score < -10 ** 307 else near - abs(near) * 1e-12
+
+
+def _order_key(score: int) -> str | None:
+    """Text that sorts as the integers outside 64 bits do: sign, number of digits, digits
+    (negative: complements); null for those inside."""
+    if LONG[0] <= score <= LONG[1]:
+        return None
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):04d}{digits}"
+    return f"{9999 - len(digits):04d}" + "".join(str(9 - int(c)) for c in digits)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
@@ -111,12 +138,13 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     its ``k`` best rows of ``rows``, ties to the smaller vec_id, fewer if there are fewer.
 
     Rows with the query's vec_id are its own and left out. Rows without vec_id, and
-    vectors that are null or hold null or non-finite components, take no part; shorter
-    vectors count as ending in zeros. Repeated rows are candidates each; repeated query
+    vectors that are null or hold null or non-finite components (before or after scaling),
+    take no part. Ranks follow the exact scores at any size; a score beyond 64 bits is
+    reported as the nearest long. Shorter vectors count as ending in zeros. Repeated rows are candidates each; repeated query
     rows are one query. Extra columns are ignored; an empty table gives no rows.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
-                      & (F.abs(x.cast("double")) != float("inf")))
+                      & (F.abs(x.cast("double") * SCALE) != float("inf")))
     queries, rows = (t.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite) for t in (queries, rows))
     queries = queries.distinct()
@@ -127,7 +155,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     first = rows.select("vec_id", "embedding").limit(SEEDS).toArrow()
     seed_ids = np.asarray(first.column("vec_id"), np.int64)
     seeds = quantized(first.column("embedding"), dims) if len(seed_ids) else np.zeros((0, dims))
-    schema = "query_id long, query_no long, vec_id long, score long"
+    schema = "query_id long, query_no long, vec_id long, score long, side int, beyond string"
 
     def scan(number: int) -> DataFrame:
         table = queries.where(part == number).orderBy("vec_id").toArrow()
@@ -144,16 +172,21 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
             count = [len(b[1]) for b in search.best]
             if sum(count):
                 no = np.repeat(np.arange(len(ids)), count)
+                scores = [int(s) for b in search.best for s in b[0]]
+                inside = [min(max(s, LONG[0]), LONG[1]) for s in scores]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[no]), pa.array(no * passes + number),
                      pa.array(np.concatenate([b[1] for b in search.best])),
-                     pa.array([int(s) for b in search.best for s in b[0]], pa.int64())],
-                    names=["query_id", "query_no", "vec_id", "score"])
+                     pa.array(inside, pa.int64()),
+                     pa.array([(s > t) - (s < t) for s, t in zip(scores, inside)], pa.int32()),
+                     pa.array([_order_key(s) for s in scores], pa.string())],
+                    names=["query_id", "query_no", "vec_id", "score", "side", "beyond"])
 
         return rows.mapInArrow(run, schema)
 
-    found = reduce(DataFrame.union, [scan(p) for p in range(passes)])
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id"))
+    found = written_in_turn(scan(p) for p in range(passes))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_no").orderBy(
+        F.desc("side"), F.desc("beyond"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -284,6 +284,24 @@ def test_top_k_large_components_and_passes(spark, tables, monkeypatch):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(brute_top(rows))
 
 
+def test_top_k_scores_beyond_64_bits(spark, monkeypatch):
+    """Ranks by exact scores, negative and positive, scores held to a long; one pass's queries at a time."""
+    monkeypatch.setattr(op8_topk, "PASS_BYTES", 64)
+    monkeypatch.setattr(op8_topk, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float64(x) * 10.0 ** s) for x, s in zip(rng.normal(size=3), rng.integers(0, 17, 3))]) for i in range(40)]
+    rows += [(40, [1e150, -1e150, 1.0]), (41, [-1e160, 0.0, 0.0]), (42, [0.0] * 3), (43, [1e307, 1.0, 1.0]), (44, rows[3][1]), (45, [-1e17, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = op8_topk.top_k(df.where("vec_id % 5 = 0"), df).collect()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows if all(math.isfinite(1024 * x) for x in v)}
+    want = []
+    for q in (i for i in whole if i % 5 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:10]
+        want += [(q, r + 1, i, min(max(-s, -2 ** 63), 2 ** 63 - 1)) for r, (s, i) in enumerate(best)]
+    assert any(w[3] == 2 ** 63 - 1 for w in want) and 43 not in {w[2] for w in want}
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def test_top_k_queries_that_are_not_candidates(spark):
     rng = np.random.default_rng(4)
     near = [(i, [float(x) for x in 10 + rng.normal(size=8)]) for i in range(40)]
