@@ -916,6 +916,18 @@ def q_model_test_rows(spark, sf):
     return _search(spark, sf).predictions.select(*ROW_KEY, "HighUVB")
 
 
+@register("model_shape", with_(OBS, CLEAN, _SIGNAL, _MODEL_ROWS, _SPLIT_ROWS, "train AS (SELECT * FROM ranked WHERE pos < n_train)")
+          + f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS train_rows,
+       CAST((SELECT COUNT(*) FROM ranked WHERE pos >= n_train) AS BIGINT) AS test_rows,
+       CAST({len(_NUM)} + {" + ".join(f"COUNT(DISTINCT {c})" for c in _CAT)} AS INT) AS n_features,
+       {r6('CAST(COUNT(*) FILTER (WHERE HighUVB = 0) AS DOUBLE) / COUNT(*) FILTER (WHERE HighUVB = 1)')} AS scale_pos_weight
+FROM train""")
+def q_model_shape(spark, sf):
+    """The part of the model's record that the prepared rows decide."""
+    return modeling.record(spark, _search(spark, sf)).select("train_rows", "test_rows", "n_features", "scale_pos_weight")
+
+
 @register("model_metrics")
 def q_model_metrics(spark, sf):
     return evaluate.class_metrics(_search(spark, sf).predictions, "HighUVB", "prediction", "score")
