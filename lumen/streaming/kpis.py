@@ -18,6 +18,19 @@ from lumen.operators.summarize import kpis
 from lumen.schema import PRECIP, UVB
 
 
+#: Rows of a landing file, and the micro-batches that the files are read in.
+LANDING_ROWS, BATCHES = 1 << 18, 4
+
+
+def land(observations: DataFrame, folder: str) -> int:
+    """Writes ``observations`` as files of a folder, more files the more rows there are and
+    ``BATCHES`` at least, so that no task gets a share that grows with the input. Returns the
+    files of a micro-batch, for a stream that reads the folder in about ``BATCHES`` of them."""
+    files = max(BATCHES, -(-observations.count() // LANDING_ROWS))
+    observations.repartition(files).write.parquet(folder)
+    return -(-files // BATCHES)
+
+
 def observation_stream(spark: SparkSession, folder: str, schema: T.StructType,
                        fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)

@@ -118,3 +118,13 @@ def test_counts_and_bounds_come_from_footers(spark, scratch):
     assert (whole["HR_min"], whole["HR_max"]) == (0, 23)
     # the caller's session reads as before
     assert "PushedAggregation" not in _plan(spark.read.parquet(f"{scratch}/t").agg(F.count("*")))
+
+
+def test_landing_files_grow_in_number_not_in_rows(spark, scratch, monkeypatch):
+    """Each file is written from one task's share, which must not follow the input."""
+    monkeypatch.setattr(sk, "LANDING_ROWS", 50)
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    assert sk.land(rows, f"{scratch}/landing") == 5
+    sizes = [r["count"] for r in spark.read.parquet(f"{scratch}/landing").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) <= 60
+    assert sk.land(rows.limit(10), f"{scratch}/few") == 1
