@@ -29,6 +29,8 @@ from lumen.llm.common import unit_hash
 U = np.uint64
 BUCKETS = 1 << 15
 GROUPS = 3
+#: Bytes of short texts whose features a task holds at once (some 50 bytes for each).
+SCORE_BYTES = 1 << 18
 
 
 def _shape_table() -> np.ndarray:
@@ -125,7 +127,7 @@ class SubwordModel:
         feats = Features(self.fold_case)
         sums, seen, dense = np.zeros((n, GROUPS, k)), np.zeros((n, GROUPS), np.int64), np.zeros(n)
         with np.errstate(over="ignore"):
-            for first, d, o in tx.chunks(data, offsets):
+            for first, d, o in tx.chunks(data, offsets, SCORE_BYTES, piece=tx.CHUNK_BYTES):
                 docs = len(o) - 1
                 for g, (ids, bounds) in enumerate(feats.groups(d, o)):
                     size = np.diff(bounds)

@@ -58,14 +58,14 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, max_bytes: int = CHUNK_BYTES,
-           overlap: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+           overlap: int = 0, piece: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Chunks ``(first document, bytes, offsets)`` of up to ``max_bytes``.
 
-    A longer document comes alone, in pieces cut after white space (a single
+    A longer document comes alone, in pieces (of ``piece`` bytes, or as many) cut after white space (a single
     word is never cut); with ``overlap``, pieces are cut anywhere and each
     repeats the last ``overlap`` bytes of the one before.
     """
-    n, i = len(offsets) - 1, 0
+    n, i, piece = len(offsets) - 1, 0, piece or max_bytes
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + max_bytes, side="right")) - 1
         if j > i:
@@ -76,12 +76,12 @@ def chunks(data: np.ndarray, offsets: np.ndarray, max_bytes: int = CHUNK_BYTES,
         lo, hi = int(offsets[i]), int(offsets[i + 1])
         while lo < hi:
             cut = hi
-            if hi - lo > max_bytes:
-                cut = lo + max(max_bytes, 2 * overlap)
+            if hi - lo > piece:
+                cut = lo + max(piece, 2 * overlap)
                 while not overlap and cut < hi and not SPACE[data[cut - 1]]:
-                    step = SPACE[data[cut:min(hi, cut + max_bytes)]]
+                    step = SPACE[data[cut:min(hi, cut + piece)]]
                     at = int(step.argmax()) if step.any() else -1
-                    cut = cut + at + 1 if at >= 0 else min(hi, cut + max_bytes)
+                    cut = cut + at + 1 if at >= 0 else min(hi, cut + piece)
                 cut = min(cut, hi)
             yield i, data[lo:cut], np.array([0, cut - lo], np.int64)
             lo = cut if cut == hi else cut - overlap

@@ -168,3 +168,21 @@ def test_unlearned_language_is_rejected(spark):
     print(share.to_dict(), model.reject_below)
     assert share["en"] < 0.02 and share["fr"] < 0.02
     assert share["de"] > 0.9 and share["es"] > 0.9 and share["noise"] == 1
+
+
+def test_scoring_holds_the_features_of_few_texts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumen.llm import subword as sw
+
+    rng = np.random.default_rng(5)
+    words = np.array(["ta", "lumen", "gris", "oder", "mare"])
+    texts = pa.array([" ".join(words[rng.integers(0, 5, 200)]) for _ in range(3000)])
+    model = sw.SubwordModel(["a", "b"], rng.normal(size=(sw.GROUPS, sw.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, True, 0.0)
+    tracemalloc.start()
+    model.probabilities(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
