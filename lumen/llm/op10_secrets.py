@@ -78,7 +78,7 @@ def transitions(texts: DataFrame) -> np.ndarray:
         total = np.zeros(ALPHABET * ALPHABET, np.int64)
         for batch in batches:
             data, offsets = tx.column_bytes(batch.column("text"))
-            for _, d, o in tx.chunks(data, offsets):
+            for _, d, o in tx.chunks(data, offsets, tx.SCAN_BYTES, piece=tx.CHUNK_BYTES):
                 a = LETTER[d]
                 pair = a[:-1] * ALPHABET + a[1:]
                 cut = o[1:-1] - 1
@@ -102,7 +102,7 @@ def dictionary(texts: DataFrame) -> np.ndarray:
 
 class Scanner:
     def __init__(self, bigrams: np.ndarray, words: np.ndarray) -> None:
-        self.bigrams, self.words, self.hasher = bigrams, words, tx.Hasher()
+        self.bigrams, self.words, self.hasher = bigrams, words, tx.Hasher(ASSIGNED << 8)
 
     def known(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -182,7 +182,7 @@ def _found(scanner: Scanner, column: pa.Array, paths: pa.Array) -> dict[str, lis
     out: dict[str, list] = {"row": [], "start": [], "end": [], "token": [], "features": []}
     data, offsets = tx.column_bytes(column)
     at = int(offsets[0])
-    for _, d, _ in tx.chunks(data, offsets):       # contiguous, the words beside are read from the batch
+    for _, d, _ in tx.chunks(data, offsets, tx.SCAN_BYTES, piece=tx.CHUNK_BYTES):       # contiguous, the words beside are read from the batch
         for i, s, e in scanner.find(data, offsets, at, at + len(d)):
             lo, hi = int(offsets[i]), int(offsets[i + 1])
             values = (i, s - lo, e - lo, bytes(data[s:e]).decode("ascii"),

@@ -38,11 +38,12 @@ SMOOTH = 0.1
 SLICE = 2000
 
 
-def _words(column: pa.Array, hasher: tx.Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _words(column: pa.Array, hasher: tx.Hasher, max_bytes: int = tx.CHUNK_BYTES
+           ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first document, word hashes, bounds, last): ``last`` marks a document's final piece."""
     data, offsets = tx.column_bytes(column)
     done, seen = 0, -1
-    for first, d, o in tx.chunks(data, offsets):
+    for first, d, o in tx.chunks(data, offsets, max_bytes, piece=tx.CHUNK_BYTES):
         _, _, h, wb = hasher.words(d, o)
         done = done + len(d) if first == seen else len(d)
         seen = first
@@ -54,19 +55,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word hash, count) over all words of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, words, counts, pending = tx.Hasher(), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        hasher, words, counts, pending = tx.Hasher(tx.SCAN_BYTES), np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             h = np.concatenate([words] + [p[0] for p in pending])
             c = np.concatenate([counts] + [p[1] for p in pending])
-            u, inv = np.unique(h, return_inverse=True)
-            return u, np.bincount(inv, weights=c, minlength=len(u)).astype(np.int64)
+            order = np.argsort(h)
+            h, c = h[order], c[order]
+            first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+            return h[first], np.add.reduceat(c, first) if len(c) else c
 
         with np.errstate(over="ignore"):
             for batch in batches:
-                for _, h, _, _ in _words(batch.column("text"), hasher):
+                for _, h, _, _ in _words(batch.column("text"), hasher, tx.SCAN_BYTES):
                     pending.append(np.unique(h, return_counts=True))
-                    if sum(len(p[0]) for p in pending) > 500_000:
+                    if sum(len(p[0]) for p in pending) > 250_000:
                         words, counts = merged()
                         pending = []
                         if len(words) > HELD_WORDS:

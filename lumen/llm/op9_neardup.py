@@ -108,7 +108,7 @@ def shingle_sets(hasher: tx.Hasher, column: pa.Array, n: int) -> Iterator[tuple[
     data, offsets = tx.column_bytes(column)
     held: list[np.ndarray] = []
     done = 0
-    for first, d, o in tx.chunks(data, offsets):
+    for first, d, o in tx.chunks(data, offsets, tx.SCAN_BYTES, piece=tx.CHUNK_BYTES):
         _, _, words, wb = hasher.words(d, o)
         if len(o) == 2:
             held.append(words)
@@ -127,7 +127,7 @@ def sketches(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     bands, rows = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tx.Hasher()
+        hasher = tx.Hasher(tx.SCAN_BYTES)
         for batch in batches:
             size, keys, band, sigs = [], [], [], []
             with np.errstate(over="ignore"):
@@ -178,7 +178,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             .select("w.key", "d.text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tx.Hasher()
+        hasher = tx.Hasher(tx.SCAN_BYTES)
         for batch in batches:
             with np.errstate(over="ignore"):
                 for first, h, b in shingle_sets(hasher, batch.column("text"), n):

@@ -54,7 +54,7 @@ class Features:
 
     def __init__(self, fold_case: bool) -> None:
         self.fold_case = fold_case
-        self.hasher = tx.Hasher()
+        self.hasher = tx.Hasher(SCORE_BYTES)
 
     def groups(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         d = tx.LOWER[data] if self.fold_case else data

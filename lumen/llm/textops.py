@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of whole documents held at once where a task has several numbers for each byte.
+SCAN_BYTES = 1 << 18
 
 U = np.uint64
 _MASK = (1 << 64) - 1
@@ -92,7 +94,8 @@ class Hasher:
     """Polynomial prefix hashes over bytes: the hash of every word of a chunk in
     a few array passes. Two words differ in hash unless 64 random bits agree."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int = CHUNK_BYTES) -> None:
+        self.size = size                       # of the usual chunk; longer ones let the tables grow
         rng = np.random.default_rng(20_240_607)
         self.table = rng.integers(1, _MASK, 256, dtype=np.uint64)
         self.power = np.ones(1, U)
@@ -100,7 +103,7 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
-            n = max(n, 2 * len(self.power), CHUNK_BYTES + 1024)
+            n = max(n, 2 * len(self.power), self.size + 1024)
             with np.errstate(over="ignore"):
                 self.power = np.cumprod(np.concatenate(([U(1)], np.full(n - 1, _BASE, U))))
                 self.inverse = np.cumprod(np.concatenate(([U(1)], np.full(n - 1, _BASE_INV, U))))

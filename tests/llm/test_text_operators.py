@@ -326,3 +326,30 @@ def test_language_model_hardly_depends_on_partitions(spark):
         row = got.where("held_out").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()
         gains.append(row[0])
     assert min(gains) > 0.04 and max(gains) <= 1.2 * min(gains)
+
+
+def test_tables_and_chunks_of_a_task_follow_the_bytes_scanned_at_once():
+    import tracemalloc
+
+    from lumen.llm import op10_secrets, textops as tx
+    from lumen.llm.op4_lm import _words
+
+    texts = pa.array([f"alpha{i} beta gamma token=Zx9{i:07d}kQw" + " word" * 200 for i in range(3000)])
+    assert texts.nbytes > 2 * tx.CHUNK_BYTES
+    with np.errstate(over="ignore"):
+        tracemalloc.start()
+        scanner = op10_secrets.Scanner(np.zeros((38, 38)), np.zeros(0, np.int64))
+        assert scanner.coverage(np.frombuffer(b"passwordpassword", np.uint8)) == 0
+        tables = tracemalloc.get_traced_memory()[1]
+        held = 0
+        hasher = tx.Hasher(tx.SCAN_BYTES)
+        tracemalloc.reset_peak()
+        small = [(f, h.copy(), b) for f, h, b in op9_neardup.shingle_sets(hasher, texts, 3)]
+        held = sum(h.nbytes for _, h, _ in small)
+        peak = tracemalloc.get_traced_memory()[1] - held
+        tracemalloc.stop()
+        assert tables < 1 << 20 and peak < 48 << 20
+        one = np.concatenate([h for _, h, _, _ in _words(texts, tx.Hasher())])
+        two = np.concatenate([h for _, h, _, _ in _words(texts, tx.Hasher(tx.SCAN_BYTES), tx.SCAN_BYTES)])
+    assert (one == two).all()
+    assert sum(len(b) - 1 for _, _, b in small) == 3000 and len(small) > texts.nbytes // tx.CHUNK_BYTES + 1
