@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,9 @@ def level(nodes: DataFrame, loads: list[int]) -> DataFrame:
         load, s = heap[0]
         heapq.heapreplace(heap, (load + r["bytes"], s))
         dealt.append((r["__class"], r["__cell"], s))
-    table = nodes.sparkSession.createDataFrame(dealt, "__class int, __cell int, shard int")
+    # an Arrow table needs no Python worker on the executors, as a list of rows would
+    columns = [pa.array([d[i] for d in dealt], pa.int32()) for i in range(3)]
+    table = nodes.sparkSession.createDataFrame(pa.table(columns, names=["__class", "__cell", "shard"]))
     return celled.join(F.broadcast(table), ["__class", "__cell"]).drop("__class", "__cell")
 
 

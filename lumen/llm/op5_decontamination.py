@@ -222,7 +222,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          pa.array([v[1] for v in found.values()], pa.int64()),
                          pa.array([v[2] for v in found.values()], pa.int64())],
                         names=["doc_id", "item_id", "edits", "start", "end"])
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").mapInArrow(tx.tidy(run), schema)
 
     return reduce(DataFrame.union, [scan(block) for block in passage_blocks(benchmark)])
 
@@ -238,7 +238,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean = np.ones(batch.num_rows, bool)
                     clean[[k[0] for k in index.search(batch.column("text"))]] = False
                     yield batch.filter(pa.array(clean))
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(tx.tidy(run), rows.schema)
 
     return reduce(scan, passage_blocks(benchmark), docs)
 

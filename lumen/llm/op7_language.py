@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.llm import subword
+from lumen.llm import textops as tx
 from lumen.llm.common import crc_of_id, read_table
 
 #: Rows of each language used for fitting (the documented bound of the sample).
@@ -56,7 +57,7 @@ def identify(docs: DataFrame, model: subword.SubwordModel, text: str = "text") -
                 names=names + ["lang_pred", "score", "rejected"])
 
     return docs.withColumn("__letter", has_letter).mapInArrow(
-        run, f"{fields}, lang_pred string, score double, rejected boolean")
+        tx.tidy(run), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def _training(docs: DataFrame) -> DataFrame:

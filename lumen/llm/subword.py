@@ -215,7 +215,7 @@ def _collect_features(texts: DataFrame, fold_case: bool) -> list[tuple]:
                 names=["label", "ids", "counts", "totals"])
 
     # the arrays below are views of the Arrow buffers: the sample is held once
-    table = texts.mapInArrow(run, "label string, ids binary, counts binary, totals array<long>").toArrow()
+    table = texts.mapInArrow(tx.tidy(run), "label string, ids binary, counts binary, totals array<long>").toArrow()
     return [(lab.as_py(), np.frombuffer(i.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<u2"),
              np.maximum(t.as_py(), 1).astype(np.float32))
             for lab, i, c, t in zip(*(table.column(k) for k in ("label", "ids", "counts", "totals")))]

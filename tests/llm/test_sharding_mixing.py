@@ -1,6 +1,6 @@
 from collections import Counter, defaultdict
 
-from lumen.llm.op1_sharding import SHARDS, op1_sharding, shard_documents
+from lumen.llm.op1_sharding import SHARDS, level, op1_sharding, shard_documents
 from lumen.llm.op3_mixing import mix, numbered_sources, op3_mixing, source_targets
 
 
@@ -96,3 +96,15 @@ def test_mix_awkward(spark, awkward, nothing, tables):
     assert len(rows) == awkward.count()
     assert all(r["taken"] == r["size"] * r["copies"] and r["copies"] <= 3 for r in rows)
     assert sum(r["copies"] for r in rows if r["size"]) == sum(1 for x in mix(awkward).collect() if (x["text"] or "").strip(" \t\n\v\f\r"))
+
+
+def test_levelling_starts_no_python_workers(spark):
+    nodes = spark.range(200).selectExpr("id", "id % 7 + 1 AS size")
+    out = level(nodes, [0] * 4)
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString()      # rows that Python workers would make
+    assert out.columns == ["id", "size", "shard"] and dict(out.dtypes)["shard"] == "int"
+    loads = Counter()
+    for r in out.collect():
+        loads[r["shard"]] += r["size"]
+    assert sum(loads.values()) == sum(i % 7 + 1 for i in range(200)) and max(loads.values()) - min(loads.values()) <= 7
+    assert level(nodes.where("id < 0"), [0] * 4).collect() == []

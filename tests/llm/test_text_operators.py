@@ -353,3 +353,29 @@ def test_tables_and_chunks_of_a_task_follow_the_bytes_scanned_at_once():
         two = np.concatenate([h for _, h, _, _ in _words(texts, tx.Hasher(tx.SCAN_BYTES), tx.SCAN_BYTES)])
     assert (one == two).all()
     assert sum(len(b) - 1 for _, _, b in small) == 3000 and len(small) > texts.nbytes // tx.CHUNK_BYTES + 1
+
+
+def test_workers_give_their_memory_back():
+    from lumen.llm import textops as tx
+
+    held = []
+
+    def run(batches):
+        for batch in batches:
+            held.append(np.ones(6_000))                                   # 48 KB each, of the heap
+            yield batch
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["a"])
+    tidied = tx.tidy(run)(batch for _ in range(2_000))
+    assert all(next(tidied).equals(batch) for _ in range(2_000))
+    above = np.ones(6_000)                                                # what is below it stays with the process when freed
+    held.clear()
+    full = resident()
+    assert list(tidied) == [] and full - resident() > 50_000_000 and above.all()
+    closed = tx.tidy(run)(batch for _ in range(3))
+    assert next(closed).equals(batch)
+    closed.close()
